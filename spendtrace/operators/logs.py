@@ -188,7 +188,7 @@ def query_type_pivot(logs: DataFrame) -> DataFrame:
         logs.filter(F.col(MODEL).isNotNull())
         .groupBy(MODEL)
         .pivot("query_type", [NON_VERIFIED, VERIFIED])
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0)
         .withColumnsRenamed({NON_VERIFIED: "non_verified_queries", VERIFIED: "verified_queries"})
         .orderBy(MODEL)

@@ -15,7 +15,7 @@ from spendtrace.schemas import REQUEST_LOG
 
 # The log table is partitioned by day, so appends and windows touch few files.
 LOG_DATE = "log_date"
-_NO_DATE = F.lit("1970-01-01").cast("date")
+_NO_DATE = "1970-01-01"
 
 
 def table_exists(spark: SparkSession, table: str) -> bool:
@@ -44,7 +44,7 @@ def dated(logs: DataFrame) -> DataFrame:
     """The table's columns; a request without timestamp goes to 1970-01-01."""
     return logs.select(
         *[F.col(f.name).cast(f.dataType) for f in REQUEST_LOG],
-        F.coalesce(X.day("timestamp"), _NO_DATE).alias(LOG_DATE),
+        F.coalesce(X.day("timestamp"), F.lit(_NO_DATE).cast("date")).alias(LOG_DATE),
     )
 
 
