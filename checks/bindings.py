@@ -11,6 +11,8 @@ for a test table. Styles change how request text and executed text differ:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spendtrace.schemas import RATE_CARDS
@@ -23,27 +25,30 @@ ORDERS_START, ORDERS_END = "1995-01-01 00:00:00", "2001-12-31 23:59:59.999999"
 
 TABLES = ("events", "orders", "documents", "embeddings", "nation")
 
-_EVENTS = """(SELECT event_id, ts, user_id, event_type, value,
+_CORE = """'SELECT c_' || k || ' FROM t_' || user_id || ' WHERE region = ''north'' AND status = ''active'' '
+    || 'AND amount BETWEEN 10 AND 5000 AND created_at >= ''2023-01-01'''"""
+
+_K = """(SELECT event_id, ts, user_id, event_type, value,
     CAST(replace(replace(props, '{"k": ', ''), '}', '') AS INT) AS k FROM @events@)"""
 
-_CORE = """('SELECT c_' || k || ' FROM t_' || user_id || ' WHERE region = ''north'' AND status = ''active'' '
-    || 'AND amount BETWEEN 10 AND 5000 AND created_at >= ''2023-01-01''')"""
+# Every event with its k and the SQL text both sides of a match are made from.
+_EVENTS = f"(SELECT *, {_CORE} AS core FROM {_K} e0)"
 
-_COMMENTED = f"{_CORE} || chr(10) || ' -- Generated by Assistant' || chr(10) || ';'"
+_COMMENTED = "core || chr(10) || ' -- Generated by Assistant' || chr(10) || ';'"
 
 _REQUEST_TEXT = {
-    "mixed": f"""CASE user_id % 3 WHEN 0 THEN {_CORE}
-        WHEN 1 THEN replace({_CORE}, ' WHERE ', chr(10) || 'WHERE ') || ';'
+    "mixed": f"""CASE user_id % 3 WHEN 0 THEN core
+        WHEN 1 THEN replace(core, ' WHERE ', chr(10) || 'WHERE ') || ';'
         ELSE {_COMMENTED} END""",
     "commented": _COMMENTED,
-    "reworded": _CORE,
+    "reworded": "core",
 }
 _EXECUTED_TEXT = {
     "mixed": f"""CASE user_id % 3
-        WHEN 0 THEN replace({_CORE}, ' ', '  ') || CASE WHEN value > 20 THEN ' /* c */' ELSE '' END
-        WHEN 1 THEN lower({_CORE}) ELSE {_COMMENTED} END""",
+        WHEN 0 THEN replace(core, ' ', '  ') || CASE WHEN value > 20 THEN ' /* c */' ELSE '' END
+        WHEN 1 THEN lower(core) ELSE {_COMMENTED} END""",
     "commented": _COMMENTED,
-    "reworded": f"replace({_CORE}, 'active', 'closed')",
+    "reworded": "replace(core, 'active', 'closed')",
 }
 
 _MODELS = [name for name, *_ in RATE_CARDS["SI"]]
@@ -173,10 +178,19 @@ def relation_sql(name: str, style: str = "mixed") -> str:
 def spark_relation(spark: SparkSession, sf_dir: str, name: str, style: str = "mixed") -> DataFrame:
     sql = relation_sql(name, style).replace('"timestamp"', "timestamp")
     for table in TABLES:
-        sql = sql.replace(f"@{table}@", f"parquet.`{sf_dir.rstrip('/')}/{table}.parquet`")
+        if f"@{table}@" in sql:
+            sql = sql.replace(f"@{table}@", _view(spark, sf_dir.rstrip("/"), table))
     return spark.sql(sql)
 
 
+def _view(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Session view of one test table, so its schema is read once."""
+    view = re.sub(r"\W", "_", f"{table}_at_{sf_dir}")
+    if not spark.catalog.tableExists(view):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(view)
+    return view
+
+
 def duckdb_relation(name: str, style: str = "mixed") -> str:
     sql = relation_sql(name, style).replace("TIMESTAMP_NTZ", "TIMESTAMP")
     for table in TABLES:

@@ -19,6 +19,7 @@ from spendtrace.functions import exprs as X
 from spendtrace.functions.sqltext import (
     clean_query_text,
     digest,
+    has_text,
     normalize_sql,
     normalize_sql_latency,
     sql_fragment,
@@ -104,8 +105,9 @@ def match_requests(
     """
     h_text = normalize_sql("cleaned_query_text", repairs)
     l_text = normalize_sql("generated_sql", repairs)
-    h = history.filter(h_text != "")
-    l = logs.filter(l_text != "")
+    # Repairs may empty a text; without them the cheap test says the same.
+    h = history.filter(h_text != "" if repairs else has_text("cleaned_query_text"))
+    l = logs.filter(l_text != "" if repairs else has_text("generated_sql"))
 
     if len(tiers) == 1:
         tier = F.lit(1)
@@ -118,10 +120,13 @@ def match_requests(
         cases = [(i + 1, wrap(sql_fragment(text, n))) for i, n in enumerate(tiers)]
         return reduce(lambda c, case: c.when(F.col("match_tier") == case[0], case[1]), cases, F)
 
-    keyed = lambda df, text: df.withColumn("match_tier", tier).withColumn(
-        "match_key", by_tier(text, digest)
-    )
-    return Matched(keyed(h, h_text), keyed(l, l_text), by_tier(l_text, lambda c: c))
+    def keyed(df: DataFrame, text: Column, unmatched: str) -> DataFrame:
+        # Without a tier each side gets a key the other never has. A key that
+        # cannot be NULL also spares the join a NULL test over the whole text.
+        key = F.coalesce(by_tier(text, digest), F.lit(unmatched))
+        return df.withColumn("match_tier", tier).withColumn("match_key", key)
+
+    return Matched(keyed(h, h_text, "history"), keyed(l, l_text, "logs"), by_tier(l_text, lambda c: c))
 
 
 def _tier_keys(df: DataFrame, text: Column, tiers: Sequence[int | None], side: int) -> DataFrame:
@@ -239,8 +244,8 @@ def join_diagnostics(
 
     The match rate is full-text pairs per 100 requests, so repeats can lift it over 100.
     """
-    side = lambda df, text, left: df.select(
-        F.when(text != "", digest(text)).alias("key"),
+    side = lambda df, text, left: df.select(text.alias("_text")).select(
+        F.when(F.col("_text") != "", digest("_text")).alias("key"),
         F.lit(1 if left else 0).alias("h"),
         F.lit(0 if left else 1).alias("l"),
     )
@@ -287,8 +292,8 @@ def match_latency(analyst: DataFrame, executions: DataFrame) -> LatencyMatch:
     """Match requests with executions on SQL text without comments."""
 
     def keyed(df: DataFrame, column: str) -> DataFrame:
-        text = normalize_sql_latency(column)
-        return df.filter(text != "").withColumn("match_key", digest(text))
+        key = F.coalesce(digest(normalize_sql_latency(column)), F.lit(""))
+        return df.filter(has_text(column)).withColumn("match_key", key)
 
     executed = keyed(executions, "query_text").select(
         "match_key", "query_id", "query_text", "execution_time_ms", "warehouse_name"
