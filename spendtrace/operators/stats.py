@@ -67,7 +67,9 @@ def exact_stats(
     )
     parts = totals
     if quantiles:
-        parts = totals.unionByName(_quantiles(hist, keys, quantiles), allowMissingColumns=True)
+        # Asking for the counts here too keeps both uses of ``hist`` alike.
+        used = hist.filter(F.greatest(rows, *counts) > 0 if counts else rows > 0)
+        parts = totals.unionByName(_quantiles(used, keys, quantiles), allowMissingColumns=True)
         merged = [c for c in parts.columns if c not in keys]
         parts = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in merged])
     n, s = F.col("n").cast("double"), F.col("_sum")
@@ -80,8 +82,11 @@ def exact_stats(
 
 
 def _quantiles(hist: DataFrame, keys: list[str], quantiles: Mapping[str, float]) -> DataFrame:
-    bucket = F.shiftright("value", BUCKET_BITS)
-    counted = hist.filter(F.col("rows") > 0).select(*keys, bucket.alias("bucket"), "value", "rows")
+    # A bucket that cannot be NULL adds no filter of its own, so all branches
+    # share one exchange of ``hist`` and the source is scanned once.
+    bucket = F.coalesce(F.shiftright("value", BUCKET_BITS), F.lit(0))
+    # Entries without rows (NULL values) add nothing to a running count and match no rank.
+    counted = hist.select(*keys, bucket.alias("bucket"), "value", "rows")
     by_bucket = counted.groupBy(*keys, "bucket").agg(F.sum("rows").alias("in_bucket"))
     group = Window.partitionBy(*keys)
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
