@@ -22,9 +22,11 @@ from spendtrace.schemas import RATE_CARDS, rate_card
 from spendtrace.sources import catalog as K
 from spendtrace.sources import extract as E
 from spendtrace.sources.sinks import table_row_counts
+from spendtrace.sources.tables import UsageTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+BUILDERS: dict[str, tuple[Callable[[UsageTables], DataFrame], str]] = {}
 
 MODELS = ["@db.models/model_2.yaml", "@db.models/model_3.yaml"]
 AGENTS = ["agent_0", "agent_2", "agent_4"]
@@ -34,7 +36,7 @@ ALL_TIME = ("2023-01-01 00:00:00", "2025-01-01 00:00:00")
 def query(name: str) -> Callable[..., None]:
     """Register a query. Dates are shown as ISO text so that any engine's result hashes alike."""
 
-    def register(build: Callable[[BoundTables], DataFrame], style: str = "mixed") -> None:
+    def register(build: Callable[[UsageTables], DataFrame], style: str = "mixed") -> None:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(BoundTables(spark, sf_dir, style))
             dates = {f.name: F.col(f.name).cast("string") for f in df.schema if f.dataType == T.DateType()}
@@ -44,43 +46,44 @@ def query(name: str) -> Callable[..., None]:
             return df.withColumns({**dates, **decimals}) if dates or decimals else df
 
         QUERIES[name] = run
+        BUILDERS[name] = (build, style)
 
     return register
 
 
-def logs(t: BoundTables) -> DataFrame:
+def logs(t: UsageTables) -> DataFrame:
     return E.extract_request_log(t.request_log_raw)
 
 
-def history(t: BoundTables) -> DataFrame:
+def history(t: UsageTables) -> DataFrame:
     return A.query_history_cost(t.query_history, t.query_attribution, AS_OF)
 
 
-def matched(t: BoundTables) -> A.Matched:
+def matched(t: UsageTables) -> A.Matched:
     return A.match_requests(history(t), logs(t))
 
 
-def exact(t: BoundTables) -> A.Matched:
+def exact(t: UsageTables) -> A.Matched:
     return A.match_exact(history(t), logs(t))
 
 
-def analyst(t: BoundTables) -> DataFrame:
+def analyst(t: UsageTables) -> DataFrame:
     return E.analyst_latency_data(t.request_log_raw, START, END, newest_first=False)
 
 
-def executions(t: BoundTables, marker: str = "Generated by Assistant") -> DataFrame:
+def executions(t: UsageTables, marker: str = "Generated by Assistant") -> DataFrame:
     return E.sql_execution_data(t.query_history, START, END, marker, newest_first=False)
 
 
-def latency_match(t: BoundTables) -> A.LatencyMatch:
+def latency_match(t: UsageTables) -> A.LatencyMatch:
     return A.match_latency(analyst(t), executions(t, ""))
 
 
-def priced(t: BoundTables, rates: str = "SI") -> DataFrame:
+def priced(t: UsageTables, rates: str = "SI") -> DataFrame:
     return G.filter_users(G.price_tokens(E.agent_events(t.agent_events_raw, 30, AS_OF), rates))
 
 
-def query_costs(t: BoundTables) -> DataFrame:
+def query_costs(t: UsageTables) -> DataFrame:
     return G.agent_query_costs(E.agent_sql_queries(t.agent_events_raw, 30, AS_OF), t.query_history)
 
 
@@ -285,7 +288,7 @@ query("agent_cost_daily")(lambda t: G.agent_cost_daily(priced(t)))
 query("agent_cost_detail")(lambda t: G.agent_cost_detail(priced(t)))
 
 
-def _models_by_rate(t: BoundTables) -> DataFrame:
+def _models_by_rate(t: UsageTables) -> DataFrame:
     """Both rate cards next to the events they price."""
     used = E.agent_events(t.agent_events_raw, 30, AS_OF).groupBy("model_name").agg(F.count("*").alias("events"))
     cards = None

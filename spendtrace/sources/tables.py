@@ -36,16 +36,18 @@ class UsageTables:
     locations: Mapping[str, str] = field(default_factory=dict)
     frames: Mapping[str, DataFrame] = field(default_factory=dict)
     format: str = "parquet"
+    _read: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def get(self, relation: str) -> DataFrame:
         if relation in self.frames:
             return self.frames[relation]
         if relation not in RELATIONS or relation not in self.locations:
             raise KeyError(f"no location for relation {relation!r}")
-        where = self.locations[relation]
-        if "/" in where:
-            return self.spark.read.format(self.format).load(where)
-        return self.spark.table(where)
+        if relation not in self._read:  # files are listed once per relation
+            where = self.locations[relation]
+            reader = self.spark.read.format(self.format)
+            self._read[relation] = reader.load(where) if "/" in where else self.spark.table(where)
+        return self._read[relation]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in RELATIONS:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ _TOTALS = T.StructType(
         T.StructField("day", T.DateType()),
         T.StructField("credits", T.DecimalType(28, 9)),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("month", T.StringType()),
     ]
 )
 _ALERTS = T.StructType(
@@ -59,9 +62,15 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _seed(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    columns = T.StructType(schema.fields[:-1])
-    spark.createDataFrame([], columns).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
+def _seed(spark: SparkSession, path: str, schema: T.StructType, partition: str) -> None:
+    """An empty first partition, so that the very first batch has something to read."""
+    columns = [f for f in schema if f.name not in ("batch_id", "month")]
+    spark.createDataFrame([], T.StructType(columns)).write.mode("ignore").parquet(f"{path}/{partition}")
+
+
+def _months_back(day: dt.date) -> str:
+    """Month in which the longest period that holds ``day`` can begin (a week may reach back)."""
+    return (day - dt.timedelta(days=day.weekday())).strftime("%Y-%m")
 
 
 def budget_monitor(
@@ -75,13 +84,20 @@ def budget_monitor(
     """
     spark = stream.sparkSession
     totals_path, alerts_path = f"{path}/day_totals", f"{path}/alerts"
-    _seed(spark, totals_path, _TOTALS)
-    _seed(spark, alerts_path, _ALERTS)
+    _seed(spark, totals_path, _TOTALS, "batch_id=-1/month=none")
+    _seed(spark, alerts_path, _ALERTS, "batch_id=-1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        day_totals(batch).write.mode("overwrite").parquet(f"{totals_path}/batch_id={batch_id}")
+        own = f"{totals_path}/batch_id={batch_id}"
+        by_month = day_totals(batch).withColumn("month", F.date_format("day", "yyyy-MM"))
+        by_month.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(own)
         parts = _stored(session, totals_path, _TOTALS).filter(F.col("batch_id") <= batch_id)
+        first_day = parts.filter(F.col("batch_id") == batch_id).agg(F.min("day")).first()[0]
+        if first_day is None:
+            return
+        # Only periods that this batch reaches into can cross a limit now.
+        parts = parts.filter(F.col("month").between(_months_back(first_day), "9999-12"))
         totals = parts.groupBy("service", "day").agg(F.sum("credits").alias("credits"))
         sent = _stored(session, alerts_path, _ALERTS).filter(F.col("batch_id") < batch_id)
         reached = period_totals(rules, totals).filter(F.col("total_credits") >= F.col("limit"))
