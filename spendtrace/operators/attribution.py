@@ -109,34 +109,35 @@ def match_requests(
     h = history.filter(h_text != "" if repairs else has_text("cleaned_query_text"))
     l = logs.filter(l_text != "" if repairs else has_text("generated_sql"))
 
+    h, l = h.withColumn("_text", h_text), l.withColumn("_text", l_text)
+
     if len(tiers) == 1:
         tier = F.lit(1)
     else:
-        h_keys, l_keys = _tier_keys(h, h_text, tiers, 1), _tier_keys(l, l_text, tiers, 2)
-        sides = h_keys.union(l_keys).groupBy("tier", "key").agg(F.bit_or("side").alias("sides"))
-        tier = sides.filter("sides = 3").agg(F.min("tier")).scalar()
+        sides = _tier_keys(h, tiers, 1).union(_tier_keys(l, tiers, 2))
+        both = sides.groupBy("tier", "key").agg(F.bit_or("side").alias("sides")).filter("sides = 3")
+        tier = both.agg(F.min("tier")).scalar()
 
     def by_tier(text: Column, wrap) -> Column:
         cases = [(i + 1, wrap(sql_fragment(text, n))) for i, n in enumerate(tiers)]
         return reduce(lambda c, case: c.when(F.col("match_tier") == case[0], case[1]), cases, F)
 
-    def keyed(df: DataFrame, text: Column, unmatched: str) -> DataFrame:
+    def keyed(df: DataFrame, unmatched: str) -> DataFrame:
         # Without a tier each side gets a key the other never has. A key that
         # cannot be NULL also spares the join a NULL test over the whole text.
-        key = F.coalesce(by_tier(text, digest), F.lit(unmatched))
-        return df.withColumn("match_tier", tier).withColumn("match_key", key)
+        key = F.coalesce(by_tier(F.col("_text"), digest), F.lit(unmatched))
+        return df.withColumn("match_tier", tier).withColumn("match_key", key).drop("_text")
 
-    return Matched(keyed(h, h_text, "history"), keyed(l, l_text, "logs"), by_tier(l_text, lambda c: c))
+    return Matched(keyed(h, "history"), keyed(l, "logs"), by_tier(l_text, lambda c: c))
 
 
-def _tier_keys(df: DataFrame, text: Column, tiers: Sequence[int | None], side: int) -> DataFrame:
+def _tier_keys(df: DataFrame, tiers: Sequence[int | None], side: int) -> DataFrame:
     """(tier, digest) of every row of one side; sides are the bits 1 and 2."""
     per_tier = [
         F.struct(F.lit(i + 1).alias("tier"), digest(sql_fragment(F.col("_text"), n)).alias("key"))
         for i, n in enumerate(tiers)
     ]
-    texts = df.select(text.alias("_text"))
-    return texts.select(F.inline(F.array(*per_tier)), F.lit(side).alias("side"))
+    return df.select(F.inline(F.array(*per_tier)), F.lit(side).alias("side"))
 
 
 def match_exact(history: DataFrame, logs: DataFrame, trim: bool = True) -> Matched:
