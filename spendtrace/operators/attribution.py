@@ -91,6 +91,35 @@ class Matched:
         )
 
 
+def _tier_digests(text: Column, tiers: Sequence[int | None]) -> Column:
+    return F.array(*[digest(sql_fragment(text, n)) for n in tiers])
+
+
+def with_match_keys(
+    df: DataFrame,
+    column: str,
+    tiers: Sequence[int | None] = CASCADE,
+    repairs: Sequence[tuple[str, str]] = (),
+) -> DataFrame:
+    """Add ``match_keys``, one digest per tier; NULL where there is no text.
+
+    Saved with a table, the keys let every later match skip the SQL texts.
+    """
+    text = F.col("_text")
+    keys = F.when(text != "", _tier_digests(text, tiers))
+    return df.withColumn("_text", normalize_sql(column, repairs)).withColumn("match_keys", keys).drop("_text")
+
+
+def _usable(df: DataFrame, column: str, tiers, repairs) -> DataFrame:
+    """Rows with text and their ``match_keys``, taken as saved or computed."""
+    if "match_keys" in df.columns:
+        return df.filter(F.col("match_keys").isNotNull())
+    # Repairs may empty a text; without them the cheap test says the same.
+    text = normalize_sql(column, repairs)
+    rows = df.filter(text != "" if repairs else has_text(column)).withColumn("_text", text)
+    return rows.withColumn("match_keys", _tier_digests(F.col("_text"), tiers)).drop("_text")
+
+
 def match_requests(
     history: DataFrame,
     logs: DataFrame,
@@ -101,43 +130,30 @@ def match_requests(
 
     The choice of tier is one small aggregate over digests of both sides, run as
     a scalar subquery of the same plan; the match itself then runs for that tier
-    alone. Without any match the result is empty.
+    alone. Without any match the result is empty. Sides that carry
+    ``match_keys`` must have been given the same tiers and repairs.
     """
-    h_text = normalize_sql("cleaned_query_text", repairs)
-    l_text = normalize_sql("generated_sql", repairs)
-    # Repairs may empty a text; without them the cheap test says the same.
-    h = history.filter(h_text != "" if repairs else has_text("cleaned_query_text"))
-    l = logs.filter(l_text != "" if repairs else has_text("generated_sql"))
-
-    h, l = h.withColumn("_text", h_text), l.withColumn("_text", l_text)
-
+    h = _usable(history, "cleaned_query_text", tiers, repairs)
+    l = _usable(logs, "generated_sql", tiers, repairs)
     if len(tiers) == 1:
         tier = F.lit(1)
     else:
-        sides = _tier_keys(h, tiers, 1).union(_tier_keys(l, tiers, 2))
-        both = sides.groupBy("tier", "key").agg(F.bit_or("side").alias("sides")).filter("sides = 3")
-        tier = both.agg(F.min("tier")).scalar()
-
-    def by_tier(text: Column, wrap) -> Column:
-        cases = [(i + 1, wrap(sql_fragment(text, n))) for i, n in enumerate(tiers)]
-        return reduce(lambda c, case: c.when(F.col("match_tier") == case[0], case[1]), cases, F)
+        per_tier = lambda df, side: df.select(
+            F.posexplode("match_keys").alias("tier", "key"), F.lit(side).alias("side")
+        )
+        both = per_tier(h, 1).union(per_tier(l, 2)).groupBy("tier", "key").agg(F.bit_or("side").alias("sides"))
+        tier = both.filter("sides = 3").agg(F.min("tier") + 1).scalar()
 
     def keyed(df: DataFrame, unmatched: str) -> DataFrame:
         # Without a tier each side gets a key the other never has. A key that
         # cannot be NULL also spares the join a NULL test over the whole text.
-        key = F.coalesce(by_tier(F.col("_text"), digest), F.lit(unmatched))
-        return df.withColumn("match_tier", tier).withColumn("match_key", key).drop("_text")
+        key = F.coalesce(F.get("match_keys", F.col("match_tier") - 1), F.lit(unmatched))
+        return df.withColumn("match_tier", tier).withColumn("match_key", key).drop("match_keys")
 
-    return Matched(keyed(h, "history"), keyed(l, "logs"), by_tier(l_text, lambda c: c))
-
-
-def _tier_keys(df: DataFrame, tiers: Sequence[int | None], side: int) -> DataFrame:
-    """(tier, digest) of every row of one side; sides are the bits 1 and 2."""
-    per_tier = [
-        F.struct(F.lit(i + 1).alias("tier"), digest(sql_fragment(F.col("_text"), n)).alias("key"))
-        for i, n in enumerate(tiers)
-    ]
-    return df.select(F.inline(F.array(*per_tier)), F.lit(side).alias("side"))
+    text = normalize_sql("generated_sql", repairs)
+    cases = [(F.col("match_tier") == i, sql_fragment(text, n)) for i, n in enumerate(tiers, 1)]
+    matched_text = reduce(lambda c, case: c.when(*case), cases, F)
+    return Matched(keyed(h, "history"), keyed(l, "logs"), matched_text)
 
 
 def match_exact(history: DataFrame, logs: DataFrame, trim: bool = True) -> Matched:
@@ -244,15 +260,14 @@ def join_diagnostics(
     """One row: usable rows and distinct texts per side, shared texts, pairs, match rate.
 
     The match rate is full-text pairs per 100 requests, so repeats can lift it over 100.
+    Saved ``match_keys`` are used where a side has them.
     """
-    side = lambda df, text, left: df.select(text.alias("_text")).select(
-        F.when(F.col("_text") != "", digest("_text")).alias("key"),
-        F.lit(1 if left else 0).alias("h"),
-        F.lit(0 if left else 1).alias("l"),
-    )
-    both = side(history, normalize_sql("cleaned_query_text", repairs), True).union(
-        side(logs, normalize_sql("generated_sql", repairs), False)
-    )
+    def side(df: DataFrame, column: str, h: int, l: int) -> DataFrame:
+        if "match_keys" not in df.columns:
+            df = with_match_keys(df, column, (None,), repairs)
+        return df.select(F.get("match_keys", F.lit(0)).alias("key"), F.lit(h).alias("h"), F.lit(l).alias("l"))
+
+    both = side(history, "cleaned_query_text", 1, 0).union(side(logs, "generated_sql", 0, 1))
     keys = both.groupBy("key").agg(F.sum("h").alias("h"), F.sum("l").alias("l"))
     usable = F.col("key").isNotNull()
     h, l = F.col("h"), F.col("l")

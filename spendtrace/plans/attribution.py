@@ -37,14 +37,17 @@ def run_attribution(
 ) -> dict[str, DataFrame]:
     """Write request log, query history and all reports under ``path``.
 
-    Both inputs are written once and read back: JSON parsing and the history
-    join run a single time, and a lost executor costs only a re-read.
+    Both inputs are written once, with their match keys, and read back: JSON
+    parsing, text normalising and the history join run a single time, the
+    reports do not read SQL texts, and a lost executor costs only a re-read.
     """
     selection = {"how": "left", **selection}
     history = A.query_history_cost(tables.query_history, tables.query_attribution, as_of, days, **selection)
     saved = {
-        "request_log": recent_request_log(tables.request_log_raw, as_of, days),
-        "query_history_cost": history,
+        "request_log": A.with_match_keys(
+            recent_request_log(tables.request_log_raw, as_of, days), "generated_sql", tiers
+        ),
+        "query_history_cost": A.with_match_keys(history, "cleaned_query_text", tiers),
         "agent_tool_models": agent_tool_models(tables.agents),
     }
     stored = {name: _write(df, f"{path}/{name}") for name, df in saved.items()}

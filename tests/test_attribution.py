@@ -64,6 +64,18 @@ def test_reports_equal_those_over_pairs(spark, report):
     same_rows(report(matched), report(matched.pairs()))
 
 
+def test_saved_keys_give_the_same_match(spark, folder):
+    h, l = skewed(spark)
+    A.with_match_keys(h, "cleaned_query_text").write.parquet(f"{folder}/h")
+    A.with_match_keys(l, "generated_sql").write.parquet(f"{folder}/l")
+    saved = spark.read.parquet(f"{folder}/h"), spark.read.parquet(f"{folder}/l")
+    same_rows(A.attribute_requests(*saved), A.attribute_requests(h, l))
+    same_rows(A.join_diagnostics(*saved), A.join_diagnostics(h, l))
+    costs = C.total_cost_by_model(A.match_requests(*saved))
+    text = costs._jdf.queryExecution().executedPlan().toString()
+    assert "generated_sql" not in text and "cleaned_query_text" not in text
+
+
 def test_pairs_are_the_plain_join(spark):
     h, l = skewed(spark)
     norm = lambda t: " ".join((t or "").strip().upper().split()).rstrip(";")
