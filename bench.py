@@ -12,10 +12,11 @@ import os
 import sys
 import tempfile
 import time
+import uuid
 
 from checks.bindings import BoundTables
 from checks.queries import BUILDERS
-from spendtrace.session import build_session
+from spendtrace.session import build_session, shared_dir
 from spendtrace.sources.tables import RELATIONS, UsageTables
 
 HEADLINE = [
@@ -67,7 +68,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    stored = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    stored = f"{shared_dir(spark, tempfile.mkdtemp(prefix='run-', dir='/tmp'))}/bench-{uuid.uuid4().hex}"
     bound = BoundTables(spark, sf_dir)
     for relation in RELATIONS:
         bound.get(relation).repartition(cpus).write.parquet(f"{stored}/{relation}")

@@ -131,15 +131,19 @@ def match_requests(
     The choice of tier is one small aggregate over digests of both sides, run as
     a scalar subquery of the same plan; the match itself then runs for that tier
     alone. Without any match the result is empty. Sides that carry
-    ``match_keys`` must have been given the same tiers and repairs.
+    ``match_keys`` must have been given these tiers (or more after them) and
+    the same repairs.
     """
     h = _usable(history, "cleaned_query_text", tiers, repairs)
     l = _usable(logs, "generated_sql", tiers, repairs)
     if len(tiers) == 1:
         tier = F.lit(1)
     else:
+        # Exploding a new array, not the column itself, keeps the optimizer from
+        # adding a size test that would normalise every text a second time.
+        each = F.array(*[F.get("match_keys", F.lit(i)) for i in range(len(tiers))])
         per_tier = lambda df, side: df.select(
-            F.posexplode("match_keys").alias("tier", "key"), F.lit(side).alias("side")
+            F.posexplode(each).alias("tier", "key"), F.lit(side).alias("side")
         )
         both = per_tier(h, 1).union(per_tier(l, 2)).groupBy("tier", "key").agg(F.bit_or("side").alias("sides"))
         tier = both.filter("sides = 3").agg(F.min("tier") + 1).scalar()

@@ -88,6 +88,7 @@ def _quantiles(hist: DataFrame, keys: list[str], quantiles: Mapping[str, float])
     # Entries without rows (NULL values) add nothing to a running count and match no rank.
     counted = hist.select(*keys, bucket.alias("bucket"), "value", "rows")
     by_bucket = counted.groupBy(*keys, "bucket").agg(F.sum("rows").alias("in_bucket"))
+    # A group has at most (value range / 1024) buckets here, whatever its number of rows.
     group = Window.partitionBy(*keys)
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     by_bucket = by_bucket.select(
