@@ -40,13 +40,6 @@ def scans(df):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(BUILDERS))
-def test_no_cross_joins_and_no_python(spark, name):
-    build, style = BUILDERS[name]
-    text = plan(build(BoundTables(spark, SF, style)))
-    assert not re.search("CartesianProduct|NestedLoopJoin|EvalPython|InPandas|InArrow", text)
-
-
 @pytest.mark.parametrize(
     "name, columns, pushed",
     [
