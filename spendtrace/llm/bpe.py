@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtrace.llm.spans import LETTER, PUNCTUATION, HashTable, SpanIds, letters
+from spendtrace.llm.staging import bounded_batches
 from spendtrace.llm.textnum import segments, slices
 
 NONE = np.iinfo(np.int32).max
@@ -296,6 +297,7 @@ ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids of each row's whole text, and the bytes these ids decode to; each text is encoded once."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf(ROUND_TRIP)
     def both(texts: pa.Array) -> pa.Array:

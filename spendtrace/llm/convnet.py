@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendtrace.llm.staging import bounded_batches
+
 CHUNK = 256
 WIDTH = 6
 EMBED = 5
@@ -177,6 +179,7 @@ def train_classifier(
 
 def quality_scores(docs: DataFrame, net: ByteConvNet) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of every row."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

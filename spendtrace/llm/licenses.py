@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendtrace.llm.staging import bounded_batches
+
 #: Base phrases and labels.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -222,6 +224,7 @@ FINDINGS = T.StructType(
 
 def license_findings(docs: DataFrame) -> DataFrame:
     """doc_id and the :data:`FINDINGS` of each row's whole text; places and phrases hold all findings, base or not."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf(FINDINGS)
     def scan(texts: pa.Array) -> pa.Array:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendtrace.llm.staging import stored
+from spendtrace.llm.staging import bounded_batches, stored
 from spendtrace.llm.textnum import SPACE, slices, window_hashes, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -92,6 +92,7 @@ def count_statistics(texts: pa.Array) -> pa.StructArray:
 
 def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the struct column ``stats``."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf(STATS_TYPE)
     def stats(texts: pa.Array) -> pa.Array:

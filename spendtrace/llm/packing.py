@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from spendtrace.llm.spans import LETTER, PUNCTUATION, SpanIds, letters
-from spendtrace.llm.staging import stored
+from spendtrace.llm.staging import bounded_batches, stored
 from spendtrace.llm.textnum import SPACE, segments, slices
 
 OPEN_BINS = 4096
@@ -146,6 +146,7 @@ PIECE = T.StructType(
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 2048, closing: int | None = 0) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of each piece of each row's whole text."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def encoded(texts: pa.Array) -> pa.Array:

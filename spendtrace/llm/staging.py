@@ -25,3 +25,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get whole texts in batches of at most ``rows`` rows, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_to = int(spark.conf.get(name))
+    if set_to <= 0 or set_to > rows:
+        spark.conf.set(name, str(rows))

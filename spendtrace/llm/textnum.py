@@ -108,21 +108,16 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     Text i is ``joined[at[i] : at[i + 1] - 1]``. Null texts are empty. A slice
     holds about ``limit`` bytes, or one longer text.
     """
-    values = [None if v is None else v.encode() for v in texts.to_pylist()]
-    a, size = 0, 0
-    for i, v in enumerate(values):
-        n = len(v) if v else 0
-        if size and size + n > limit:
-            yield _joined(values, a, i)
-            a, size = i, 0
-        size += n + 1
-    if a < len(values):
-        yield _joined(values, a, len(values))
-
-
-def _joined(values: list, a: int, b: int) -> tuple[int, int, bytes, np.ndarray]:
-    part = [v or b"" for v in values[a:b]]
-    at = np.zeros(b - a + 1, dtype=np.int64)
-    np.cumsum([len(v) + 1 for v in part], out=at[1:])
-    part.append(b"")
-    return a, b, b"\n".join(part), at
+    if texts.null_count:
+        texts = texts.fill_null("")
+    data = texts.cast(pa.large_binary())  # offsets widened, bytes shared
+    ends = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + len(data) + 1]
+    whole = memoryview(data.buffers()[2] or b"")
+    a = 0
+    while a < len(data):
+        # As many rows as fit, one at least.
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, side="right")) - 1)
+        b = min(b, len(data))
+        at = ends[a : b + 1] - ends[a] + np.arange(b - a + 1)
+        yield a, b, b"\n".join([*(whole[x:y] for x, y in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist())), b""]), at
+        a = b

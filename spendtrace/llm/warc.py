@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtrace.llm.staging import new_folder, stored
+from spendtrace.llm.staging import bounded_batches, new_folder, stored
 
 ARCHIVE_BYTES = 16 << 20
 _PIECE = 1 << 16
@@ -148,6 +148,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     Returns :data:`WRITTEN`, one row per record, lazily: consume it once.
     """
+    bounded_batches(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(folder)
