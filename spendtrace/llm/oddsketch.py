@@ -1,25 +1,30 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
 A document's set is its distinct five-word shingles. ``SAMPLES`` MinHash samples
-of the set give ``BANDS`` bands of ``ROWS`` rows for candidates, and are folded
-into a parity bitmap, the odd sketch: each sample flips one bit. The population
-count of the XOR of two sketches estimates how many samples differ, so the
-similarity of a candidate pair is known closely from 64 bytes each. Pairs that
-may reach the threshold are confirmed on the full sets.
+of the set are folded into a parity bitmap, the odd sketch: each sample flips one
+bit. The population count of the XOR of two sketches estimates how many samples
+differ, so the similarity of a candidate pair is known closely from 128 bytes
+each. The first ``BANDS * ROWS`` samples give bands for candidates. Pairs
+that may reach the threshold are confirmed on the full sets.
 
-Groups of any size stay linear:
+Groups need no comparison of all their pairs:
 
 * documents with the same set are one representative;
-* round one links each bucket member only to the bucket's smallest
-  representative and forms components of the confirmed links;
-* round two compares, within a bucket, only members of different components.
+* first each representative is compared with the smallest one that any of its
+  buckets has, then, within each bucket, the smallest of each component formed
+  so far with the bucket's smallest; both give at most a pair per member;
+* last, members of different components are compared within a bucket.
   Buckets over ``BUCKET`` members (a passage shared by many documents) are first
   divided by every other band, so that compared pairs agree on two bands. A true
   pair that shares one band shares one of the others with probability above
   0.99999, so nothing is capped or dropped.
 
 A pair at similarity 0.75 has no common band with probability 5e-6, and a sketch
-estimate below ``FLOOR`` with about 1e-5.
+estimate below ``FLOOR`` with 1e-4 (at 0.77, with 1e-6).
+
+Texts are not shuffled but for documents in some candidate pair: the scan
+drops others by a bitmap of fixed size, which may let a few pass, and a join
+drops those.
 
 Defined results: a null or empty text, or one without words, has an empty set,
 links with nothing and is its own component (repeated ids: one component per
@@ -39,22 +44,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtrace.llm.components import connected_components
-from spendtrace.llm.staging import stored
+from spendtrace.llm.staging import bounded_batches, stored
 from spendtrace.llm.textnum import mix, slices, window_hashes, words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+SAMPLES = 512
+SKETCH_BITS = 1024
 SKETCH_WORDS = SKETCH_BITS // 64
-#: A confirmed pair's estimate is below this with probability about 1e-5.
-FLOOR = 0.58
+#: Estimates have a standard deviation of about 0.023 at similarity 0.75.
+FLOOR = 0.66
 BUCKET = 128
+#: Cells of up to so many members are joined, larger ones compared in blocks.
+FEW = 12
+BLOCK_MEMBERS = 1024
 _BLOCK = 1024
+#: Bits of the bitmap of candidate ids, 1 MB whatever the data.
+BITMAP_BITS = 1 << 23
 
 _RNG = np.random.default_rng(977)
-_XOR = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)[:, None]
-_MUL = (_RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_XOR = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
+_MUL = (_RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _SAMPLE = np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
 _ROW = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
@@ -87,14 +97,16 @@ def shingle_sets(texts: pa.Array):
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(shingles), _BLOCK):
-        np.minimum(least, ((shingles[None, k : k + _BLOCK] ^ _XOR) * _MUL).min(axis=1), out=least)
-    return least
+    """Smallest value of each of ``SAMPLES`` hash functions, each over the shingle's 32 low bits."""
+    least = np.full(SAMPLES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    low = shingles.astype(np.uint32)
+    for k in range(0, len(low), _BLOCK):
+        np.minimum(least, ((low[None, k : k + _BLOCK] ^ _XOR) * _MUL).min(axis=1), out=least)
+    return least.astype(np.uint64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    return mix((least.reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=np.uint64) ^ _BAND)
+    return mix((least[: BANDS * ROWS].reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=np.uint64) ^ _BAND)
 
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
@@ -143,20 +155,42 @@ def with_signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sign("text").alias("sig")).select("doc_id", *[f"sig.{f.name}" for f in SIGNATURE])
 
 
-def estimate(a: str, b: str) -> F.Column:
-    """Similarity from two sketch columns: the odd sketch estimator over the XOR's population count."""
-    differing = sum(
-        (F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, SKETCH_WORDS)),
-        F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])),
-    )
+def estimate(differing: F.Column) -> F.Column:
+    """Similarity from the number of bits in which two sketches differ (the odd sketch estimator)."""
     inner = F.lit(1.0) - 2.0 * differing / SKETCH_BITS
     return F.when(inner <= 0, F.lit(0.0)).otherwise(F.lit(1.0) + F.log(inner) * (SKETCH_BITS / (4.0 * SAMPLES)))
 
 
+def differing_bits(words: range) -> F.Column:
+    """Population count of the XOR of two sketches, over some of their words, from columns s0_a.., s0_b.."""
+    counts = [F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in words]
+    return sum(counts[1:], counts[0])
+
+
+#: Greatest number of differing bits at which the estimate reaches FLOOR.
+MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - FLOOR) / SKETCH_BITS)))
+#: A quarter of a sketch that may pass has at most so many (8 standard deviations above its share).
+QUARTER = SKETCH_WORDS // 4
+MOST_QUARTER_BITS = int(MOST_BITS / 4 + 8 * np.sqrt(MOST_BITS / 4 * (1 - MOST_BITS / SKETCH_BITS) * 0.75))
+
+
 def possible(threshold: int) -> F.Column:
-    """Pairs (a, n_a, sketch_a), (b, n_b, sketch_b) that sizes and sketches do not exclude."""
+    """Pairs that sizes and sketches do not exclude; most fall by the first quarter of their sketches."""
     sizes = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    return sizes & (estimate("sketch_a", "sketch_b") >= FLOOR)
+    return sizes & (differing_bits(range(QUARTER)) <= MOST_QUARTER_BITS) & (differing_bits(range(SKETCH_WORDS)) <= MOST_BITS)
+
+
+def _place(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id: at most ``BITMAP_BITS / 64`` words reach the driver."""
+    words = ids.select(_place("doc_id").alias("at")).selectExpr("at >> 6 AS word", "1L << cast(at & 63 AS int) AS bit")
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
+    bitmap[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return bitmap
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
@@ -175,8 +209,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     pairs = stored(pairs.select("a", "b").distinct(), "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    bitmap = id_bitmap(ids)
+
+    @F.arrow_udf("boolean")
+    def maybe(places: pa.Array) -> pa.Array:
+        at = places.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    needed = docs.select("doc_id", "text").where(maybe(_place("doc_id"))).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(needed.select("doc_id", full_set("text").alias("shingles")), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
@@ -186,15 +227,86 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def _side(members: DataFrame, side: str, *others: str) -> DataFrame:
-    """Members as one side of pairs; the columns ``others`` get the side's suffix, ``key`` stays."""
-    renamed = [F.col(c).alias(f"{c}_{side}") for c in others]
-    kept = ["key"] if "key" in members.columns else []
-    sized = [F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")]
-    return members.select(*kept, F.col("rep").alias(side), *renamed, *sized)
+    """Members as one side of pairs: all columns but the keys get the side's suffix, ``rep`` becomes the side itself."""
+    kept = [c for c in ("key", "key2") if c in members.columns]
+    return members.select(
+        *kept,
+        F.col("rep").alias(side),
+        F.col("n_shingles").alias(f"n_{side}"),
+        *[F.col(f"s{k}").alias(f"s{k}_{side}") for k in range(SKETCH_WORDS)],
+        *[F.col(c).alias(f"{c}_{side}") for c in others],
+    )
+
+
+def _first_common_key() -> F.Column:
+    """Whether the columns key, key2 are the first bands that short_a and short_b (32 bits of each band's key) share."""
+    common = F.filter(F.zip_with("short_a", "short_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    first, second = common[0], F.get(common, F.lit(1))
+    divided = (F.col("key") == F.least(first, second)) & (F.col("key2") == F.greatest(first, second))
+    return F.when(F.col("key2") >= 0, F.coalesce(divided, F.lit(False))).otherwise(F.col("key") == first)
+
+
+def block_pairs(block: pa.Table, threshold: int) -> pa.Table:
+    """Pairs of two blocks of a cell, or within one, that pass the same tests as in :func:`near_duplicates`."""
+    col = {c: block[c].to_numpy() for c in ("rep", "component", "n_shingles", "mine", "m", "q", "key", "key2")}
+    sketch = np.stack([block[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)], axis=1).view(np.uint64)
+    short = block["short"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    m, q, key, key2 = (int(col[c][0]) for c in ("m", "q", "key", "key2"))
+    left, right = np.flatnonzero(col["mine"] == m), np.flatnonzero(col["mine"] == q)
+    found = []
+    for k in range(0, len(left), 128):
+        l = left[k : k + 128]
+        bits = np.bitwise_count(sketch[l][:, None, :QUARTER] ^ sketch[right][None, :, :QUARTER]).sum(axis=2, dtype=np.int64)
+        n, other = col["n_shingles"][l][:, None], col["n_shingles"][right][None]
+        ok = (bits <= MOST_QUARTER_BITS) & (100 * np.minimum(n, other) >= threshold * np.maximum(n, other))
+        ok &= col["component"][l][:, None] != col["component"][right][None]
+        a, b = np.nonzero(ok)
+        a, b = l[a], right[b]
+        keep = col["rep"][a] < col["rep"][b] if m == q else np.ones(len(a), dtype=bool)
+        a, b = a[keep], b[keep]
+        keep = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+        a, b = a[keep], b[keep]
+        equal = short[a] == short[b]
+        rows, first = np.arange(len(a)), equal.argmax(axis=1)
+        one = short[a, first]
+        if key2 >= 0:
+            equal[rows, first] = False
+            two = np.where(equal.any(axis=1), short[a, equal.argmax(axis=1)], -1)
+            keep = (np.minimum(one, two) == key) & (np.maximum(one, two) == key2)
+        else:
+            keep = one == key
+        found.append(np.sort(np.stack([col["rep"][a[keep]], col["rep"][b[keep]]], axis=1), axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _crossing(cells: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components in a cell that may reach the threshold, each once.
+
+    Cells of a few members are joined with themselves; larger ones are compared
+    in numpy, in blocks of at most about ``BLOCK_MEMBERS`` against another, so that
+    no task holds a whole cell.
+    """
+    cell = ["key", "key2"]
+    sizes = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    cells = stored(cells.join(sizes, cell), "cells")
+    few = cells.where(F.col("size") <= FEW)
+    others = ("component", "short")
+    pairs = _side(few, "a", *others).join(_side(few, "b", *others), cell)
+    apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+    small = pairs.where(apart & possible(threshold) & _first_common_key()).select("a", "b")
+
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    many = cells.where(F.col("size") > FEW).withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    met = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.withColumn("m", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other")).drop("other", "size")
+    large = met.groupBy(*cell, "m", "q").applyInArrow(lambda t: block_pairs(t, threshold), "a long, b long")
+    return small.union(large)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, per row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stored(with_signatures(docs), "signatures")
     reps = stored(
@@ -208,35 +320,44 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         ),
         "representatives",
     )
-    plain = reps.select("rep", "n_shingles", "sketch")
+    plain = reps.select("rep", "n_shingles", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)])
 
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members"))
     shared = stored(
         keyed.join(buckets.where("members > 1"), "key").select("key", "rep", "leader", "members"), "buckets"
     )
-    star = shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(_side(plain, "a"), "a").join(_side(plain, "b"), "b").where(possible(threshold))
-    links = stored(confirmed(star, docs, threshold), "links-star")
-
-    first = connected_components(links)
-    member = shared.select("key", "rep", "members").join(first.withColumnRenamed("id", "rep"), "rep", "left")
-    member = member.withColumn("component", F.coalesce("component", "rep"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_buckets = stored(
-        member.join(mixed.where("low <> high").select("key"), "key", "left_semi"), "open-buckets"
-    )
-    small = open_buckets.where(F.col("members") <= BUCKET).select("key", "rep", "component")
-    hot = open_buckets.where(F.col("members") > BUCKET).join(reps.select("rep", "bands"), "rep")
-    divided = hot.select("rep", "component", "key", F.explode("bands").alias("other")).where("key <> other")
-    divided = divided.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "rep", "component")
-    divided = divided.distinct()
-    cells = stored(small.union(divided).join(plain, "rep"), "cells")
-    pairs = _side(cells, "a", "component").join(_side(cells, "b", "component"), "key")
-    apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
-    cross = pairs.where(apart & possible(threshold))
-    more = stored(confirmed(cross, docs, threshold), "links-cross")
 
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        sized = pairs.distinct().join(_side(plain, "a"), "a").join(_side(plain, "b"), "b")
+        return stored(confirmed(sized.where(possible(threshold)), docs, threshold), name)
+
+    def members_by(links: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components of ``links``."""
+        found = connected_components(links).withColumnRenamed("id", "rep")
+        member = shared.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return stored(member.join(mixed.where("low <> high").select("key"), "key", "left_semi"), "open-buckets")
+
+    nearest = shared.groupBy("rep").agg(F.min("leader").alias("leader")).where("leader < rep")
+    links = links_of(nearest.select(F.col("leader").alias("a"), F.col("rep").alias("b")), "links-first")
+    lows = members_by(links).groupBy("key", "component").agg(F.min("rep").alias("rep"), F.min("leader").alias("leader"))
+    again = lows.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    links = links.union(links_of(again, "links-second"))
+
+    open_buckets = members_by(links)
+    # From here a band goes by 32 bits of its key: more may meet under a key, which only costs comparisons.
+    short = F.transform("bands", lambda b: b.bitwiseAND(0xFFFFFFFF))
+    members = open_buckets.join(reps.select("rep", short.alias("short")), "rep")
+    key, hot = F.col("key").bitwiseAND(0xFFFFFFFF), F.col("members") > BUCKET
+    columns = ["rep", "component", "short"]
+    small = members.where(~hot).select(key.alias("key"), F.lit(-1).cast("long").alias("key2"), *columns)
+    divided = members.where(hot).withColumn("other", F.explode("short")).where(F.col("other") != key)
+    divided = divided.select(F.least(key, "other").alias("key"), F.greatest(key, "other").alias("key2"), *columns)
+    cells = small.union(divided).dropDuplicates(["key", "key2", "rep"])
+    # A pair meets under every key it shares and is compared under the first.
+    cross = _crossing(cells.join(plain, "rep"), threshold)
+    more = stored(confirmed(cross, docs, threshold), "links-cross")
     joined = connected_components(links.union(more))
     classes = reps.select("digest", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from spendtrace.llm import oddsketch
 from tests.llm.fixtures import document_rows, documents, no_documents
@@ -57,6 +58,8 @@ def test_no_documents(spark):
 def test_groups_chains_and_shared_passages(spark, monkeypatch):
     """A large near-copy group, chains at the threshold, and a passage in many documents, with hot buckets divided."""
     monkeypatch.setattr(oddsketch, "BUCKET", 6)
+    monkeypatch.setattr(oddsketch, "FEW", 4)
+    monkeypatch.setattr(oddsketch, "BLOCK_MEMBERS", 8)
     rng = random.Random(4)
 
     def prose(n):
@@ -92,10 +95,13 @@ def test_estimates_are_close(spark):
             a, b = (np.concatenate([shared, o]) for o in own)
             sketches = [oddsketch.odd_sketch(oddsketch.min_hashes(s)).view(np.int64).tolist() for s in (a, b)]
             rows.append((j, *sketches))
-    df = spark.createDataFrame(rows, "j int, sketch_a array<long>, sketch_b array<long>")
-    for r in df.select("j", oddsketch.estimate("sketch_a", "sketch_b").alias("e")).collect():
-        assert abs(r.e - r.j / 100) < 0.2
+    df = spark.createDataFrame(rows, "j int, a array<long>, b array<long>")
+    df = df.select("j", *[F.col(x)[k].alias(f"s{k}_{x}") for x in "ab" for k in range(oddsketch.SKETCH_WORDS)])
+    bits = oddsketch.differing_bits(range(oddsketch.SKETCH_WORDS))
+    for r in df.select("j", oddsketch.estimate(bits).alias("e"), bits.alias("bits")).collect():
+        assert abs(r.e - r.j / 100) < 0.12
         assert r.j < 75 or r.e >= oddsketch.FLOOR
+        assert (r.e >= oddsketch.FLOOR) == (r.bits <= oddsketch.MOST_BITS)
 
 
 def test_sketch_is_the_parity_of_sample_bits():
