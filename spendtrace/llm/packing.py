@@ -22,6 +22,7 @@ through ``pack``; clashing names (sequence_id, offset) raise ``ValueError``.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,8 +59,14 @@ class WordIds:
             self.ends_word[i] = token.endswith("</w>")
         #: Texts with these strings are encoded whole, as they stand for single ids.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Whether ASCII letters reach the model just lower-cased, so that it can be asked directly.
+        probes = ["Abc", "token", "UNUSUALNESS", "q"]
+        self.direct = all(self.tokenizer.encode(p, add_special_tokens=False).ids == self._model_ids(p) for p in probes)
         self.known = SpanIds(self._encode_parts)
 
+    def _model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.lower())]
+
     def encode(self, texts: pa.Array, closing: int | None) -> list[bytes]:
         """Ids of each text, then the closing id, as packed little-endian unsigned 32-bit integers."""
         tail = b"" if closing is None else np.array([closing], dtype="<u4").tobytes()
@@ -87,7 +94,10 @@ class WordIds:
 
     def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
         out: dict[bytes, bytes] = {}
-        joinable = [p for p in parts if _letters(p)]
+        plain = [p for p in parts if p.isalpha()] if self.direct else []
+        for p in plain:
+            out[p] = array("I", self._model_ids(p.decode())).tobytes()
+        joinable = [p for p in parts if p not in out and _letters(p)]
         for k in range(0, len(joinable), 1024):
             group = joinable[k : k + 1024]
             ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, dtype="<u4")
