@@ -273,6 +273,10 @@ _ONE_MODEL = "semantic_model_name = '@db.models/model_2.yaml'"
 
 oracle("request_log_extract", "SELECT * FROM req")
 oracle("request_log_selected_models", f"SELECT * FROM req WHERE {_TWO_MODELS}")
+oracle(
+    "request_log_recent_mid_month",
+    "SELECT * FROM req WHERE \"timestamp\" >= TIMESTAMP '2024-01-03 12:00:00' AND \"timestamp\" <= TIMESTAMP '2024-01-10 12:00:00'",
+)
 oracle("request_log_recent", f"SELECT * FROM req WHERE \"timestamp\" >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY")
 oracle("analyst_latency_data", f"SELECT * FROM analyst WHERE {_ONE_MODEL}")
 oracle("analyst_latency_data_all", "SELECT * FROM analyst")
@@ -557,7 +561,7 @@ WHERE {_ORDERS_WINDOW} AND {_AI}""",
 oracle(
     "ai_services_total_days",
     f"""SELECT coalesce({total('credits_used', 2)}, 0) AS total_credits FROM metering
-WHERE start_time >= TIMESTAMP '2001-07-15' - INTERVAL 365 DAY AND {_AI}""",
+WHERE start_time >= TIMESTAMP '2001-07-15' - INTERVAL 365 DAY AND start_time < DATE '2001-07-16' AND {_AI}""",
 )
 _LLM = f"SELECT {total('token_credits', 0)} AS llm_inference_credits, {big('SUM(tokens)')} AS llm_inference_tokens"
 oracle("llm_summary", f"{_LLM} FROM function_usage WHERE {window()} AND function_name = 'COMPLETE'")
@@ -653,7 +657,7 @@ oracle(
     AS llm_inference_tokens,
   (SELECT {big('SUM(request_count)')} FROM analyst_usage WHERE {window()}) AS number_messages""",
 )
-_THIS_MONTH = f"start_time >= TIMESTAMP '2001-07-01' AND {_AI}"
+_THIS_MONTH = f"start_time >= TIMESTAMP '2001-07-01' AND start_time < DATE '2001-07-16' AND {_AI}"
 oracle(
     "daily_spend",
     f"""SELECT service_type, {_DAY} AS usage_date, {dbl(csum('credits_used'))} AS daily_credits FROM metering
@@ -864,6 +868,15 @@ oracle(
 FROM (SELECT {_service('functions', _MONTH_START)} AS used) x""",
 )
 
+oracle(
+    "functions_budget_mid_month",
+    f"""SELECT 'DAY' AS period, '2024-01-10' AS period_start, 1::DOUBLE AS "limit",
+  {dbl('used')} AS current_usage_credits, used >= 1 AS triggered,
+  'function credit usage in this DAY = ' || {_two('used')} AS message
+FROM (SELECT coalesce(SUM(credits), 0) AS used FROM services
+      WHERE service = 'functions' AND start_time >= DATE '2024-01-10' AND start_time < DATE '2024-01-11') x""",
+)
+
 
 def _custom(period: str, since: str, limit: int) -> str:
     share = ratio_half_up("used * 100", f"{limit} * CAST(1000000000 AS HUGEINT)", 2)
@@ -880,7 +893,7 @@ def _custom(period: str, since: str, limit: int) -> str:
 FROM (SELECT total_credits, {share} AS percentage_used, {status} AS status
       FROM (SELECT {dbl(f"coalesce({csum('credits_used')}, 0)")} AS total_credits,
               coalesce(SUM(CAST(round(credits_used * 1000000000.0e0) AS HUGEINT)), 0) AS used
-            FROM metering WHERE start_time >= DATE '{since}' AND {_AI}) x) y"""
+            FROM metering WHERE start_time >= DATE '{since}' AND start_time < DATE '2001-07-16' AND {_AI}) x) y"""
 
 
 oracle("custom_budget_alert", _custom("MONTH", "2001-07-01", 1000))

@@ -91,6 +91,9 @@ def query_costs(t: UsageTables) -> DataFrame:
 
 query("request_log_extract")(logs)
 query("request_log_selected_models")(lambda t: E.extract_request_log(t.request_log_raw, MODELS))
+query("request_log_recent_mid_month")(
+    lambda t: E.recent_request_log(t.request_log_raw, "2024-01-10 12:00:00", 7)
+)
 query("request_log_recent")(lambda t: E.recent_request_log(t.request_log_raw, AS_OF, 14))
 query("analyst_latency_data")(lambda t: E.analyst_latency_data(t.request_log_raw, START, END, MODELS[0]))
 query("analyst_latency_data_all")(lambda t: E.analyst_latency_data(t.request_log_raw, START, END))
@@ -307,6 +310,7 @@ query("budget_alert_week_two_services")(
     lambda t: H.budget_alert(t, "week", 500, AS_OF, documents=False, search=False)
 )
 query("budget_alert_day")(lambda t: H.budget_alert(t, "DAY", 0.01, AS_OF))
+query("functions_budget_mid_month")(lambda t: H.functions_budget(t.function_usage, "DAY", 1, "2024-01-10"))
 query("functions_budget")(lambda t: H.functions_budget(t.function_usage, "MONTH", 1000, AS_OF))
 query("custom_budget_alert")(
     lambda t: H.custom_budget_alert(t.metering, "MONTH", 1000, "Acme Corporation", AS_OF_ORDERS)

@@ -31,6 +31,11 @@ def sum_credits(c: Column | str) -> Column:
     return F.sum(credits(c))
 
 
+def sum_totals(c: Column | str) -> Column:
+    """Sum of credits that are sums themselves, and so may exceed what one row can hold."""
+    return F.sum(col(c).cast("decimal(38,9)"))
+
+
 def dbl(c: Column | str) -> Column:
     return col(c).cast("double")
 
@@ -53,7 +58,7 @@ def divide(numerator: Column | str, denominator: Column | str) -> Column:
 def decimal_divide(numerator: Column | str, denominator: Column | str) -> Column:
     """Quotient of two decimals, exact far beyond the digits that get rounded."""
     return F.try_divide(
-        col(numerator).cast("decimal(24,9)"), col(denominator).cast("decimal(24,9)")
+        col(numerator).cast("decimal(30,9)"), col(denominator).cast("decimal(30,9)")
     )
 
 
@@ -62,8 +67,8 @@ def percent_half_even(part: Column | str, whole: Column | str) -> Column:
 
 
 def percent_half_up(part: Column | str, whole: Column | str) -> Column:
-    scaled = col(part).cast("decimal(24,9)") * F.lit(Decimal(100))
-    return half_up(F.try_divide(scaled, col(whole).cast("decimal(24,9)")), 2)
+    scaled = col(part).cast("decimal(30,9)") * F.lit(Decimal(100))
+    return half_up(F.try_divide(scaled, col(whole).cast("decimal(30,9)")), 2)
 
 
 def query_type(path: Column | str, verified_path: str = VERIFIED_PATH) -> Column:
@@ -121,6 +126,13 @@ def as_datetime(value: Moment) -> dt.datetime:
     return dt.datetime.fromisoformat(value)
 
 
+def up_to(c: Column | str, as_of: Moment) -> Column:
+    """Not after ``as_of``: its whole day where it is a date, the instant where it has a time of day."""
+    at = as_datetime(as_of)
+    whole_day = not isinstance(as_of, dt.datetime) and (isinstance(as_of, dt.date) or len(as_of.strip()) <= 10)
+    return col(c) < moment(at + dt.timedelta(days=1)) if whole_day else col(c) <= moment(at)
+
+
 def days_before(as_of: Moment, days: int) -> dt.datetime:
     return as_datetime(as_of) - dt.timedelta(days=days)
 

@@ -50,7 +50,7 @@ def query_history_cost(
     by_tag = F.col("query_tag").isin(list(tags))
     selected = reduce(lambda a, p: a | F.col("query_text").ilike(p), text_patterns, by_tag)
     queries = query_history.filter(
-        (F.col("start_time") >= X.moment(X.days_before(as_of, days))) & selected
+        (F.col("start_time") >= X.moment(X.days_before(as_of, days))) & X.up_to("start_time", as_of) & selected
     ).select(
         "query_id",
         "query_text",

@@ -27,6 +27,11 @@ def _opening(title: str, label: str, period: Column, start: Column, limit: Colum
     ]
 
 
+def _in_period(start: Column, as_of: X.Moment) -> Column:
+    """From the first day of a period up to ``as_of``."""
+    return (F.col("start_time") >= start.cast("timestamp_ntz")) & X.up_to("start_time", as_of)
+
+
 def budget_alert(
     tables: UsageTables,
     period: str,
@@ -47,7 +52,7 @@ def budget_alert(
     start = X.period_start(period, as_of)
     zero = F.lit(0).cast("decimal(28,9)")
     if chosen:
-        usage = service_usage(tables, chosen).filter(F.col("start_time") >= start.cast("timestamp_ntz"))
+        usage = service_usage(tables, chosen).filter(_in_period(start, as_of))
         sums = usage.agg(*[F.coalesce(sum_of_service(s), zero).alias(f"_{s}") for s in chosen])
     else:
         sums = tables.spark.range(1)
@@ -77,7 +82,7 @@ def functions_budget(
     """One row for function credits only; the usage line is there whether or not the limit is reached."""
     start = X.period_start(period, as_of)
     used = F.coalesce(X.sum_credits("token_credits"), F.lit(0).cast("decimal(28,9)"))
-    sums = usage.filter(F.col("start_time") >= start.cast("timestamp_ntz")).agg(used.alias("_used"))
+    sums = usage.filter(_in_period(start, as_of)).agg(used.alias("_used"))
     account = f"Account: {label} - " if label else ""
     text = F.concat(
         F.lit(f"{account}function credit usage in this {period.upper()} = "), _number("_used")
@@ -104,7 +109,7 @@ def custom_budget_alert(
     start = X.period_start(period, as_of)
     used = F.coalesce(X.sum_credits("credits_used"), F.lit(0).cast("decimal(28,9)"))
     sums = metering.filter(
-        (F.col("start_time") >= start.cast("timestamp_ntz")) & (F.col("service_type") == service)
+        _in_period(start, as_of) & (F.col("service_type") == service)
     ).agg(used.alias("_used"))
     limit_col = F.lit(float(limit))
     percent = X.half_up(
@@ -201,5 +206,5 @@ def daily_totals(usage: DataFrame) -> DataFrame:
 def budget_tiers(tables: UsageTables, rules: DataFrame, as_of: X.Moment) -> DataFrame:
     """Check every rule of a rules frame over one shared scan of usage."""
     earliest = F.least(X.period_start("WEEK", as_of), X.period_start("MONTH", as_of))
-    usage = service_usage(tables).filter(F.col("start_time") >= earliest.cast("timestamp_ntz"))
+    usage = service_usage(tables).filter(_in_period(earliest, as_of))
     return rules_against_daily(rules, daily_totals(usage), as_of)

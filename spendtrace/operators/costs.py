@@ -54,7 +54,7 @@ def cost_by_agent(tool_models: DataFrame, model_costs: DataFrame) -> DataFrame:
         .filter(F.col("agent_name").isNotNull())
         .groupBy("agent_name")
         .agg(
-            X.half_even(X.sum_credits("total_credits"), 4).alias("total_credits"),
+            X.half_even(X.sum_totals("total_credits"), 4).alias("total_credits"),
             F.count("tool_name").alias("tool_count"),
         )
         .orderBy(F.desc("total_credits"), "agent_name")
@@ -202,4 +202,4 @@ def agent_inventory(tool_models: DataFrame) -> DataFrame:
 
 def total_agent_cost(agent_costs: DataFrame) -> DataFrame:
     """One row: sum of the per-agent totals."""
-    return agent_costs.agg(X.dbl(X.sum_credits("total_credits")).alias("total_agent_credits"))
+    return agent_costs.agg(X.dbl(X.sum_totals("total_credits")).alias("total_agent_credits"))

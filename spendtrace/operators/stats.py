@@ -75,8 +75,10 @@ def exact_stats(
     n, s = F.col("n").cast("double"), F.col("_sum")
     out = [*keys, "n", F.try_divide(s.cast("double"), n).alias("mean")]
     if with_std:
-        # Exact integers until the last step: no cancellation.
-        spread = (F.col("n").cast("decimal(19,0)") * F.col("_squares") - s * s).cast("double")
+        # Exact integers until the last step: no cancellation. Where these have too many digits, doubles.
+        exact = F.try_subtract(F.try_multiply(F.col("n").cast("decimal(19,0)"), F.col("_squares")), F.try_multiply(s, s))
+        rough = n * F.col("_squares").cast("double") - s.cast("double") * s.cast("double")
+        spread = F.coalesce(exact.cast("double"), F.greatest(rough, F.lit(0.0)))
         out.append(F.sqrt(F.try_divide(spread, n * (n - 1))).alias("std"))
     return parts.select(*out, "min", "max", *quantiles, *counts)
 

@@ -17,7 +17,7 @@ def _window(usage: DataFrame, start: X.Moment, end: X.Moment) -> DataFrame:
 
 
 def _since(usage: DataFrame, days: int, as_of: X.Moment) -> DataFrame:
-    return usage.filter(F.col("start_time") >= X.moment(X.days_before(as_of, days)))
+    return usage.filter((F.col("start_time") >= X.moment(X.days_before(as_of, days))) & X.up_to("start_time", as_of))
 
 
 def _rounded(c: str, digits: int) -> Column:
@@ -244,6 +244,7 @@ def daily_spend(
     return (
         metering.filter(
             (F.col("start_time") >= X.period_start("MONTH", as_of).cast("timestamp_ntz"))
+            & X.up_to("start_time", as_of)
             & F.col("service_type").isin(list(services))
         )
         .groupBy("service_type", X.day("start_time").alias("usage_date"))
@@ -259,6 +260,7 @@ def top_spend_days(
     return (
         metering.filter(
             (F.col("start_time") >= X.period_start("MONTH", as_of).cast("timestamp_ntz"))
+            & X.up_to("start_time", as_of)
             & (F.col("service_type") == service)
         )
         .groupBy(X.day("start_time").alias("usage_date"))

@@ -27,12 +27,11 @@ def build_session(app: str = "spendtrace", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    ``fallback`` is used (and recorded) only where the cluster names none.
+    ``fallback`` is used only where the cluster names none, and is not recorded in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     if fallback is None:
         raise ValueError("spark.checkpoint.dir is unset; pass a shared folder")
-    spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback

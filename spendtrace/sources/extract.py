@@ -21,8 +21,8 @@ def _text(variant: str, path: str) -> Column:
 
 
 def _whole(variant: str, path: str) -> Column:
-    """JSON number as a rounded whole number; text and junk that is no number is NULL."""
-    return F.round(F.try_variant_get(variant, path, "double")).cast("bigint")
+    """JSON number as a rounded whole number; text, junk and what no bigint holds (NaN too) is NULL."""
+    return F.round(F.try_variant_get(variant, path, "double")).try_cast("bigint")
 
 
 def _dotted(key: str) -> str:
@@ -78,7 +78,7 @@ def extract_request_log(
 
 def recent_request_log(raw: DataFrame, as_of: X.Moment, days: int = 30, **options) -> DataFrame:
     """Request log over all models for the last ``days`` days."""
-    return extract_request_log(raw, since=X.days_before(as_of, days), **options)
+    return extract_request_log(raw.filter(X.up_to("timestamp", as_of)), since=X.days_before(as_of, days), **options)
 
 
 def analyst_latency_data(
@@ -145,7 +145,7 @@ def agent_events(
 ) -> DataFrame:
     """Agent traces with model and token counts; rows without tokens stay."""
     since = X.days_before(X.as_date(as_of), days_back)
-    rows = raw.filter(F.col("timestamp") >= X.moment(since)).withColumns(
+    rows = raw.filter((F.col("timestamp") >= X.moment(since)) & X.up_to("timestamp", as_of)).withColumns(
         {
             "_resource": F.try_parse_json("resource_attributes"),
             "_attributes": F.try_parse_json("record_attributes"),
@@ -175,7 +175,7 @@ def agent_sql_queries(
 ) -> DataFrame:
     """Distinct (query, user, agent, date) of SQL-execution spans."""
     since = X.days_before(X.as_date(as_of), days_back)
-    rows = raw.filter(F.col("timestamp") >= X.moment(since)).withColumns(
+    rows = raw.filter((F.col("timestamp") >= X.moment(since)) & X.up_to("timestamp", as_of)).withColumns(
         {
             "_resource": F.try_parse_json("resource_attributes"),
             "_attributes": F.try_parse_json("record_attributes"),

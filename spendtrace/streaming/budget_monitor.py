@@ -101,7 +101,7 @@ def budget_monitor(
         totals = parts.groupBy("service", "day").agg(F.sum("credits").alias("credits"))
         sent = _stored(session, alerts_path, _ALERTS).filter(F.col("batch_id") < batch_id)
         reached = period_totals(rules, totals).filter(F.col("total_credits") >= F.col("limit"))
-        fresh = reached.join(sent, ["rule", "period_start"], "left_anti")
+        fresh = reached.join(sent, ["rule", "period", "period_start"], "left_anti")
         fresh.select(*_ALERTS.names[:-1]).write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

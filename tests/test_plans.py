@@ -72,4 +72,4 @@ def test_shared_folder_comes_from_the_session(spark, folder):
         with pytest.raises(ValueError):
             shared_dir(spark)
     assert shared_dir(spark, folder) == (before or folder)
-    assert shared_dir(spark, "/other") == (before or folder)
+    assert shared_dir(spark, "/other") == (before or "/other")
