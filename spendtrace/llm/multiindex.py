@@ -6,7 +6,8 @@ its distance to them (multi-sequence traversal over the two sorted lists of
 half bounds) and stops when the bound passes the reach that the target recall
 asks for. With ``target_recall=1`` the reach is the threshold's own distance, and
 as the bound holds for every vector of a cell, no link is missed. What is visited
-is verified by cosine in double precision.
+is verified by cosine in double precision. Below 1 the reach is the quantile that
+near pairs of the sample need; a link found from one side only counts for that side.
 
 Codebooks are fitted on at most ``SAMPLE_ROWS`` vectors (those with the smallest
 hashes of their ids); every vector is indexed. Equal vectors of a label are one

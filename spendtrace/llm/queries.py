@@ -73,7 +73,7 @@ def op7_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiindex.similar_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return multiindex.similar_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93, target_recall=0.999)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
