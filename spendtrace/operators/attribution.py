@@ -8,6 +8,7 @@ millions of times on both sides. Only :meth:`Matched.pairs` writes out pairs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -103,16 +104,36 @@ def with_match_keys(
 ) -> DataFrame:
     """Add ``match_keys``, one digest per tier; NULL where there is no text.
 
-    Saved with a table, the keys let every later match skip the SQL texts.
+    Saved with a table, the keys let every later match skip the SQL texts. The
+    column's metadata names the tiers and repairs, so that a match can refuse others.
     """
     text = F.col("_text")
-    keys = F.when(text != "", _tier_digests(text, tiers))
-    return df.withColumn("_text", normalize_sql(column, repairs)).withColumn("match_keys", keys).drop("_text")
+    keys = F.when(text != "", _tier_digests(text, tiers)).alias("match_keys", metadata={_MADE_BY: _recipe(tiers, repairs)})
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "match_keys"]
+    return df.withColumn("_text", normalize_sql(column, repairs)).select(*kept, keys)
+
+
+_MADE_BY = "made_by"
+
+
+def _recipe(tiers: Sequence[int | None], repairs: Sequence[tuple[str, str]]) -> str:
+    return json.dumps({"tiers": list(tiers), "repairs": [list(r) for r in repairs]})
+
+
+def _check_saved_keys(df: DataFrame, tiers: Sequence[int | None], repairs: Sequence[tuple[str, str]]) -> None:
+    """Raise unless the saved keys begin with these tiers and were made with these repairs."""
+    made = df.schema["match_keys"].metadata.get(_MADE_BY)
+    if made is None:
+        raise ValueError("match_keys do not say how they were made: use with_match_keys")
+    saved, wanted = json.loads(made), json.loads(_recipe(tiers, repairs))
+    if saved["tiers"][: len(tiers)] != wanted["tiers"] or saved["repairs"] != wanted["repairs"]:
+        raise ValueError(f"match_keys were made with {saved}, not with {wanted}")
 
 
 def _usable(df: DataFrame, column: str, tiers, repairs) -> DataFrame:
     """Rows with text and their ``match_keys``, taken as saved or computed."""
     if "match_keys" in df.columns:
+        _check_saved_keys(df, tiers, repairs)
         return df.filter(F.col("match_keys").isNotNull())
     # Repairs may empty a text; without them the cheap test says the same.
     text = normalize_sql(column, repairs)
@@ -120,11 +141,36 @@ def _usable(df: DataFrame, column: str, tiers, repairs) -> DataFrame:
     return rows.withColumn("match_keys", _tier_digests(F.col("_text"), tiers)).drop("_text")
 
 
+def _first_matching_tier(h: DataFrame, l: DataFrame, tiers: Sequence[int | None]) -> DataFrame:
+    """One row: the first tier (from 1) in which the usable sides share a key, or NULL."""
+    # Exploding a new array, not the column itself, keeps the optimizer from
+    # adding a size test that would normalise every text a second time.
+    each = F.array(*[F.get("match_keys", F.lit(i)) for i in range(len(tiers))])
+    per_tier = lambda df, side: df.select(
+        F.posexplode(each).alias("tier", "key"), F.lit(side).alias("side")
+    )
+    both = per_tier(h, 1).union(per_tier(l, 2)).groupBy("tier", "key").agg(F.bit_or("side").alias("sides"))
+    return both.filter("sides = 3").agg((F.min("tier") + 1).alias("tier"))
+
+
+def matching_tier(
+    history: DataFrame,
+    logs: DataFrame,
+    tiers: Sequence[int | None] = CASCADE,
+    repairs: Sequence[tuple[str, str]] = (),
+) -> int:
+    """The tier that :func:`match_requests` would choose (0 for none), for jobs that match the same sides often."""
+    h = _usable(history, "cleaned_query_text", tiers, repairs)
+    l = _usable(logs, "generated_sql", tiers, repairs)
+    return _first_matching_tier(h, l, tiers).first()["tier"] or 0
+
+
 def match_requests(
     history: DataFrame,
     logs: DataFrame,
     tiers: Sequence[int | None] = CASCADE,
     repairs: Sequence[tuple[str, str]] = (),
+    known_tier: int | None = None,
 ) -> Matched:
     """Match on normalised SQL; a later, shorter prefix counts only if no earlier tier matched at all.
 
@@ -132,21 +178,17 @@ def match_requests(
     a scalar subquery of the same plan; the match itself then runs for that tier
     alone. Without any match the result is empty. Sides that carry
     ``match_keys`` must have been given these tiers (or more after them) and
-    the same repairs.
+    the same repairs, else ``ValueError``. ``known_tier`` is the result of
+    :func:`matching_tier` for the same sides; the choice is then not made again.
     """
     h = _usable(history, "cleaned_query_text", tiers, repairs)
     l = _usable(logs, "generated_sql", tiers, repairs)
-    if len(tiers) == 1:
+    if known_tier is not None:
+        tier = F.lit(known_tier)
+    elif len(tiers) == 1:
         tier = F.lit(1)
     else:
-        # Exploding a new array, not the column itself, keeps the optimizer from
-        # adding a size test that would normalise every text a second time.
-        each = F.array(*[F.get("match_keys", F.lit(i)) for i in range(len(tiers))])
-        per_tier = lambda df, side: df.select(
-            F.posexplode(each).alias("tier", "key"), F.lit(side).alias("side")
-        )
-        both = per_tier(h, 1).union(per_tier(l, 2)).groupBy("tier", "key").agg(F.bit_or("side").alias("sides"))
-        tier = both.filter("sides = 3").agg(F.min("tier") + 1).scalar()
+        tier = _first_matching_tier(h, l, tiers).scalar()
 
     def keyed(df: DataFrame, unmatched: str) -> DataFrame:
         # Without a tier each side gets a key the other never has. A key that
@@ -264,10 +306,13 @@ def join_diagnostics(
     """One row: usable rows and distinct texts per side, shared texts, pairs, match rate.
 
     The match rate is full-text pairs per 100 requests, so repeats can lift it over 100.
-    Saved ``match_keys`` are used where a side has them.
+    Saved ``match_keys`` are used where a side has them; their first tier must be
+    the full text, and their repairs these, else ``ValueError``.
     """
     def side(df: DataFrame, column: str, h: int, l: int) -> DataFrame:
-        if "match_keys" not in df.columns:
+        if "match_keys" in df.columns:
+            _check_saved_keys(df, (None,), repairs)
+        else:
             df = with_match_keys(df, column, (None,), repairs)
         return df.select(F.get("match_keys", F.lit(0)).alias("key"), F.lit(h).alias("h"), F.lit(l).alias("l"))
 

@@ -49,15 +49,20 @@ def dated(logs: DataFrame) -> DataFrame:
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: str = "request_id") -> DataFrame:
-    """Rows whose key is neither stored nor repeated among ``rows``; NULL keys all stay.
+    """Rows whose (key, day) is neither stored nor repeated among ``rows``; NULL keys all stay.
 
-    A request never changes its date, so only stored days that occur in
-    ``rows`` are read: the list of days is small and prunes the partitions.
+    A request is known by its key and its day: sent again with another day, it
+    is another row, however the rows were batched. The first and last day of
+    ``rows`` (one row, from the time column alone) are literals of the stored
+    table's scan, so it reads only the partitions between them, and that of
+    requests without time.
     """
+    undated = F.col(LOG_DATE) == F.lit(_NO_DATE).cast("date")
+    span = rows.filter(~undated).agg(F.min(LOG_DATE).alias("first"), F.max(LOG_DATE).alias("last")).first()
+    reached = undated if span["first"] is None else undated | F.col(LOG_DATE).between(span["first"], span["last"])
     unkeyed = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    rows = rows.withColumn("_unkeyed", unkeyed).dropDuplicates([key, "_unkeyed"]).drop("_unkeyed")
-    days = rows.select(LOG_DATE).distinct()
-    known = stored.select(key, LOG_DATE).join(days, LOG_DATE, "left_semi")
+    rows = rows.withColumn("_unkeyed", unkeyed).dropDuplicates([key, LOG_DATE, "_unkeyed"]).drop("_unkeyed")
+    known = stored.filter(reached).select(key, LOG_DATE)
     return rows.join(known, [key, LOG_DATE], "left_anti").select(rows.columns)
 
 

@@ -76,6 +76,26 @@ def test_saved_keys_give_the_same_match(spark, folder):
     assert "generated_sql" not in text and "cleaned_query_text" not in text
 
 
+def test_saved_keys_of_other_tiers_or_repairs_are_refused(spark):
+    h, l = skewed(spark)
+    made = A.with_match_keys(h, "cleaned_query_text", (50,))
+    with pytest.raises(ValueError, match="made with"):
+        A.match_requests(made, l)
+    with pytest.raises(ValueError, match="made with"):
+        A.join_diagnostics(made, l)
+    with pytest.raises(ValueError, match="made with"):
+        A.match_requests(A.with_match_keys(h, "cleaned_query_text"), l, repairs=[("a", "b")])
+
+
+def test_known_tier_gives_the_same_match(spark):
+    h, l = skewed(spark)
+    tier = A.matching_tier(h, l)
+    assert tier == 1
+    same_rows(C.total_cost_by_model(A.match_requests(h, l, known_tier=tier)), C.total_cost_by_model(A.match_requests(h, l)))
+    none = h.limit(0)
+    assert A.matching_tier(none, l) == 0 and A.match_requests(h, l, known_tier=0).pairs().count() == 0
+
+
 def test_pairs_are_the_plain_join(spark):
     h, l = skewed(spark)
     norm = lambda t: " ".join((t or "").strip().upper().split()).rstrip(";")
