@@ -15,23 +15,33 @@ from spendtrace.llm import convnet, oddsketch, outliers, packing
 from spendtrace.llm.staging import stored
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept``, null ids included."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def _only(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` whose id has a verdict (doc_id, kept) that keeps it, null ids included.
+
+    Rows that a bitmap of fixed size shows not to be rejected pass without a
+    shuffle of their texts; the others are joined with the rejected ids.
+    """
+    by_id = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    rejected = stored(by_id.where("not coalesce(kept, false)").select("doc_id"), name)
+    maybe = oddsketch.maybe_in(rejected)
+    ids = rejected.withColumnRenamed("doc_id", "rejected_id")
+    doubted = docs.where(maybe)
+    kept = doubted.join(ids, doubted["doc_id"].eqNullSafe(ids["rejected_id"]), "left_anti")
+    return docs.where(~maybe).union(kept)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, outliers.quality_verdicts(docs).where("kept"))
+    return _only(docs, outliers.quality_verdicts(docs), "rejected-rules")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = convnet.train_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, convnet.quality_scores(docs, net).where("predicted = 1"))
+    verdicts = convnet.quality_scores(docs, net).select("doc_id", F.expr("predicted = 1").alias("kept"))
+    return _only(docs, verdicts, "rejected-classifier")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, oddsketch.near_duplicates(docs).where("kept"))
+    return _only(docs, oddsketch.near_duplicates(docs), "rejected-copies")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,6 +193,18 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def maybe_in(ids: DataFrame) -> F.Column:
+    """False for rows whose doc_id is certainly not in ``ids``, by their bitmap."""
+    bitmap = id_bitmap(ids)
+
+    @F.arrow_udf("boolean")
+    def maybe(places: pa.Array) -> pa.Array:
+        at = places.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return maybe(_place("doc_id"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the threshold (in hundredths).
 
@@ -210,14 +222,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
 
     pairs = stored(pairs.select("a", "b").distinct(), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bitmap = id_bitmap(ids)
-
-    @F.arrow_udf("boolean")
-    def maybe(places: pa.Array) -> pa.Array:
-        at = places.fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    needed = docs.select("doc_id", "text").where(maybe(_place("doc_id"))).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    needed = docs.select("doc_id", "text").where(maybe_in(ids)).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(needed.select("doc_id", full_set("text").alias("shingles")), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
