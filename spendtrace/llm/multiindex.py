@@ -6,8 +6,15 @@ its distance to them (multi-sequence traversal over the two sorted lists of
 half bounds) and stops when the bound passes the reach that the target recall
 asks for. With ``target_recall=1`` the reach is the threshold's own distance, and
 as the bound holds for every vector of a cell, no link is missed. What is visited
-is verified by cosine in double precision. Below 1 the reach is the quantile that
-near pairs of the sample need; a link found from one side only counts for that side.
+is verified by cosine in double precision. A link found from one side counts for both.
+
+Below 1 the reach is calibrated: a bounded sample of vectors meets all rows of its
+label, and each sampled vector that has links needs the reach at which the last of
+them is found (from either side). The reach serves ``target_recall`` of those vectors
+whole, whether they weigh the same, by their links or by group (a vector of a group
+of ten weighs a tenth). If the sample is not the whole table, the greatest need counts
+unless ten vectors need more than the quantile, and with too few vectors for the
+quantile the threshold's own distance stays.
 
 Codebooks are fitted on at most ``SAMPLE_ROWS`` vectors (those with the smallest
 hashes of their ids); every vector is indexed. Equal vectors of a label are one
@@ -25,10 +32,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +46,9 @@ from spendtrace.llm.staging import stored
 SAMPLE_ROWS = 4096
 MEMBERS = 1024
 VISITORS = 4096
+#: Vectors that calibrate the reach, and the most components they hold together.
+CALIBRATION_ROWS = 16384
+CALIBRATION_VALUES = 1 << 22
 _SLACK = 1e-9
 
 
@@ -93,6 +104,12 @@ class MultiIndex:
         bound = ((d[:, :, None] - d[:, None, :]) / apart[None]).max(axis=2)
         return np.maximum(bound, 0) ** 2
 
+    def bounds(self, units: np.ndarray) -> list[np.ndarray]:
+        """Half bounds of each vector to each codeword, for both halves."""
+        block = max(1, int(2e6) // max(len(b) for b in self.books) ** 2)
+        parts = [[self.half_bounds(h[k : k + block], b) for k in range(0, len(h), block)] for h, b in zip(self._halves(units), self.books)]
+        return [np.concatenate(x) if x else np.zeros((0, len(b))) for x, b in zip(parts, self.books)]
+
     def traverse(self, units: np.ndarray, reach: float) -> list[list[tuple[int, float]]]:
         """(cell, bound) of the cells to visit for each vector, nearest first."""
         out = []
@@ -121,20 +138,64 @@ def multi_sequence(first: list[float], second: list[float], reach: float):
             heapq.heappush(heap, (first[a + 1] + second[0], a + 1, 0))
 
 
-def reach_for(index: MultiIndex, sample: np.ndarray, threshold: float, target_recall: float) -> float:
-    """Squared distance up to which cells are visited, so that ``target_recall`` of near pairs are found."""
-    limit = 2 - 2 * threshold + _SLACK
-    if target_recall >= 1:
+def reach_for(needs: np.ndarray, links: np.ndarray, limit: float, target_recall: float, whole: bool) -> float:
+    """Squared distance up to which cells are visited, from what the sampled vectors with links need and how many links they have.
+
+    ``whole``: the sample is the whole table.
+    """
+    if not len(needs):
         return limit
-    near = np.argwhere(np.triu(sample @ sample.T >= threshold, 1))
-    if not len(near):
+    by_group = 1 / (1 + links)
+    # Vectors of equal weight that say as much as these.
+    supporters = by_group.sum() ** 2 / (by_group**2).sum()
+    tail = 1 - target_recall
+    if not whole and supporters * tail < 1 - 1e-9:
         return limit
-    cells = index.cells(sample)
-    needed = []
-    for a, found in enumerate(index.traverse(sample, limit)):
-        bounds = dict(found)
-        needed += [bounds[cells[b]] for b in near[near[:, 0] == a, 1]]
-    return float(np.quantile(needed, target_recall, method="higher")) + _SLACK
+    if not whole and supporters * tail < 10:
+        return min(limit, float(needs.max()) + _SLACK)
+    order = needs.argsort()
+    found = 0.0
+    for weights in (np.ones(len(needs)), links.astype(np.float64), by_group):
+        served = np.cumsum(weights[order])
+        at = np.searchsorted(served, target_recall * served[-1])
+        found = max(found, float(needs[order[min(at, len(order) - 1)]]))
+    return min(limit, found + _SLACK)
+
+
+class Calibration:
+    """Links and needed reach of sampled vectors, gathered over batches of all rows."""
+
+    def __init__(self, index: MultiIndex, units: np.ndarray, reps: np.ndarray, labels: list, threshold: float):
+        self.index, self.units, self.reps, self.threshold = index, units, reps, threshold
+        self.codes = {label: i for i, label in enumerate(dict.fromkeys(labels))}
+        code = np.array([self.codes[x] for x in labels], np.int64)
+        self.of_code = [np.flatnonzero(code == i) for i in range(len(self.codes))]
+        self.cells, self.bounds = index.cells(units), index.bounds(units)
+
+    def gather(self, batches) -> tuple[np.ndarray, np.ndarray]:
+        """(links, needed reach) per sampled vector from batches of (units, reps, labels)."""
+        links, needs = np.zeros(len(self.units), np.int64), np.zeros(len(self.units))
+        width = len(self.index.books[1])
+        for units, reps, labels in batches:
+            codes = np.array([self.codes.get(x, -1) for x in labels], np.int64)
+            cells = self.index.cells(units)
+            for c in np.unique(codes[codes >= 0]):
+                rows, sampled = np.flatnonzero(codes == c), self.of_code[c]
+                step = max(1, int(1e6) // len(rows))
+                for k in range(0, len(sampled), step):
+                    part = sampled[k : k + step]
+                    near = (self.units[part] @ units[rows].T >= self.threshold) & (self.reps[part][:, None] != reps[rows][None])
+                    if not near.any():
+                        continue
+                    links[part] += near.sum(axis=1)
+                    q, m = np.nonzero(near)
+                    met, m = np.unique(m, return_inverse=True)
+                    theirs = self.index.bounds(units[rows[met]])
+                    q, their_cell = part[q], cells[rows[met]][m]
+                    out = self.bounds[0][q, their_cell // width] + self.bounds[1][q, their_cell % width]
+                    back = theirs[0][m, self.cells[q] // width] + theirs[1][m, self.cells[q] % width]
+                    np.maximum.at(needs, q, np.minimum(out, back))
+        return links, needs
 
 
 PREPARED = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("digest", T.BinaryType())])
@@ -169,13 +230,27 @@ BLOCK_LINKS = "rep long, links long, root long"
 
 
 def block_links(block: pa.Table, threshold: float) -> pa.Table:
-    """Link counts of a block's visitors, and a root per local component, from members x visitors similarities."""
+    """Link counts of a block, and a root per local component, from members x visitors similarities.
+
+    A link counts for its visitor; for the member too, if that does not visit the
+    visitor's cell (``seen``: the cells a member visits, or a visitor's own; null
+    where all links are found from both sides).
+    """
     visiting = block["visiting"].to_numpy(zero_copy_only=False).astype(bool)
     reps, copies = block["rep"].to_numpy(), block["copies"].to_numpy()
     units = unit_rows(stack(block["embedding"]))
     q, m = np.flatnonzero(visiting), np.flatnonzero(~visiting)
     linked = (units[q] @ units[m].T >= threshold) & (reps[q][:, None] != reps[m][None])
     links = linked @ copies[m].astype(np.int64) if len(m) else np.zeros(len(q), np.int64)
+    links_m = np.zeros(len(m), np.int64)
+    if linked.any() and not block["seen"].null_count:
+        homes, home = np.unique(block["seen"].take(pa.array(q)).combine_chunks().flatten().to_numpy(), return_inverse=True)
+        seen = block["seen"].take(pa.array(m)).combine_chunks()
+        cells, owner = seen.flatten().to_numpy(), seen.value_parent_indices().to_numpy()
+        at = np.minimum(np.searchsorted(homes, cells), len(homes) - 1)
+        returns = np.zeros((len(m), len(homes)), dtype=bool)
+        returns[owner[homes[at] == cells], at[homes[at] == cells]] = True
+        links_m = copies[q].astype(np.int64) @ (linked & ~returns[:, home].T)
     root_q, root_m = reps[q].copy(), reps[m].copy()
     if linked.any():
         big = np.iinfo(np.int64).max
@@ -186,11 +261,10 @@ def block_links(block: pa.Table, threshold: float) -> pa.Table:
                 break
             root_q, root_m = low_q, low_m
     has_q, has_m = links > 0, linked.any(axis=0)
-    zeros = np.zeros(int(has_m.sum()), np.int64)
     return pa.table(
         {
             "rep": np.concatenate([reps[q][has_q], reps[m][has_m]]),
-            "links": np.concatenate([links[has_q], zeros]),
+            "links": np.concatenate([links[has_q], links_m[has_m]]),
             "root": np.concatenate([root_q[has_q], root_m[has_m]]),
         }
     )
@@ -253,12 +327,14 @@ def _links_of_length(reps: DataFrame, dim: int, n: int, threshold: float, target
     if dim == 1:  # no second half
         units = np.concatenate([units, np.zeros_like(units)], axis=1)
     index = MultiIndex(units, grid_size(n))
-    reach = reach_for(index, units, threshold, target_recall)
+    limit = 2 - 2 * threshold + _SLACK
 
     def padded(column: pa.Array) -> np.ndarray:
         u = unit_rows(stack(column))
         return np.concatenate([u, np.zeros_like(u)], axis=1) if dim == 1 else u
 
+    reach = limit if target_recall >= 1 else _calibrated(reps, index, padded, dim, n, threshold, target_recall)
+
     @F.arrow_udf("int")
     def cell(column: pa.Array) -> pa.Array:
         return pa.array(index.cells(padded(column)) if len(column) else [], pa.int32())
@@ -268,9 +344,15 @@ def _links_of_length(reps: DataFrame, dim: int, n: int, threshold: float, target
         found = index.traverse(padded(column), reach) if len(column) else []
         return pa.array([[c for c, _ in cells] for cells in found], pa.list_(pa.int32()))
 
-    own = reps.select("label", cell("embedding").alias("cell"), "rep", "copies", "embedding")
-    visits = reps.select("label", F.explode(visited("embedding")).alias("cell"), "rep", "copies", "embedding")
-    rows = stored(own.withColumn("visiting", F.lit(False)).union(visits.withColumn("visiting", F.lit(True))), "cells")
+    def entry(cell: Column, visiting: bool, seen: Column) -> Column:
+        seen = seen if reach < limit else F.lit(None).cast("array<int>")
+        return F.struct(cell.alias("cell"), F.lit(visiting).alias("visiting"), seen.alias("seen"))
+
+    located = reps.select("label", cell("embedding").alias("home"), visited("embedding").alias("visits"), "rep", "copies", "embedding")
+    own = F.array(entry(F.col("home"), False, F.col("visits")))
+    visits = F.transform("visits", lambda c: entry(c, True, F.array("home")))
+    placed = located.select("label", F.explode(F.concat(own, visits)).alias("e"), "rep", "copies", "embedding")
+    rows = stored(placed.select("label", "e.cell", "rep", "copies", "embedding", "e.visiting", "e.seen"), "cells")
     sizes = rows.groupBy("label", "cell").agg(
         F.ceil(F.count_if(~F.col("visiting")) / MEMBERS).cast("int").alias("m_blocks"),
         F.ceil(F.count_if("visiting") / VISITORS).cast("int").alias("q_blocks"),
@@ -284,5 +366,23 @@ def _links_of_length(reps: DataFrame, dim: int, n: int, threshold: float, target
     blocks = blocks.withColumn("mine", mine)
     m_block = F.when(F.col("visiting"), F.col("other")).otherwise(F.col("mine"))
     q_block = F.when(F.col("visiting"), F.col("mine")).otherwise(F.col("other"))
-    blocks = blocks.select("label", "cell", m_block.alias("m"), q_block.alias("q"), "rep", "copies", "embedding", "visiting")
+    blocks = blocks.select("label", "cell", m_block.alias("m"), q_block.alias("q"), "rep", "copies", "embedding", "visiting", "seen")
     return blocks.groupBy("label", "cell", "m", "q").applyInArrow(lambda t: block_links(t, threshold), BLOCK_LINKS)
+
+
+def _calibrated(reps: DataFrame, index: MultiIndex, padded: Callable, dim: int, n: int, threshold: float, target_recall: float) -> float:
+    """Reach for ``target_recall``, from a sample of the vectors against all rows."""
+    size = max(1, min(CALIBRATION_ROWS, CALIBRATION_VALUES // dim))
+    sample = reps.orderBy(F.xxhash64("rep", F.lit("calibration")), "rep").limit(size).select("rep", "label", "embedding").toArrow()
+    meeting = Calibration(index, padded(sample["embedding"]), sample["rep"].to_numpy(), sample["label"].to_pylist(), threshold)
+
+    def gather(batches):
+        parts = ((padded(b.column(2)), b.column(0).to_numpy(), b.column(1).to_pylist()) for b in batches if b.num_rows)
+        links, needs = meeting.gather(parts)
+        has = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(links[has]), pa.array(needs[has])], names=["at", "links", "need"])
+
+    met = reps.select("rep", "label", "embedding").mapInArrow(gather, "at long, links long, need double")
+    met = met.groupBy("at").agg(F.sum("links").alias("links"), F.max("need").alias("need")).toArrow()
+    limit = 2 - 2 * threshold + _SLACK
+    return reach_for(met["need"].to_numpy(), met["links"].to_numpy(), limit, target_recall, whole=len(sample) == n)

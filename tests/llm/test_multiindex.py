@@ -86,3 +86,36 @@ def test_bounds_hold():
     for a, found in enumerate(index.traverse(x[:50], 10.0)):
         bound = dict(found)
         assert all(bound[cells[b]] <= true[a, b] + 1e-9 for b in range(500))
+
+
+def hot_rows():
+    """A third of the rows in one tight group, the others pairs at about the threshold."""
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=64)
+    vectors = [hot + 0.1 * rng.normal(size=64) for _ in range(800)]
+    for v in rng.normal(size=(800, 64)):
+        vectors += [v, v + 0.36 * rng.normal(size=64)]
+    return [(i, v.astype(np.float32).tolist(), i % 2 if i < 800 else i // 2 % 2, 1, 2, "x") for i, v in enumerate(vectors)]
+
+
+def test_a_hot_group_does_not_set_the_reach_of_the_others(spark):
+    rows = hot_rows()
+    got = {r.vec_id: r.n_links for r in multiindex.similar_vectors(spark.createDataFrame(rows, VECTORS), target_recall=0.999).collect()}
+    units = multiindex.unit_rows(np.array([r[1] for r in rows], np.float32))
+    labels = np.array([r[2] for r in rows])
+    want = ((units @ units.T >= 0.93) & (labels[:, None] == labels)).sum(axis=1) - 1
+    outside = [i for i in range(800, len(rows)) if want[i]]
+    assert len(outside) > 1000
+    assert all(got[i] <= want[i] for i in range(len(rows)))
+    assert np.mean([got[i] == want[i] for i in outside]) >= 0.998  # calibrated over pairs: 0.79
+    assert np.mean([got[i] / want[i] for i in range(800)]) >= 0.999
+    assert all(got[i] == got[i ^ 1] for i in outside if want[i] == want[i ^ 1] == 1)  # both ends count a link
+
+
+def test_too_few_vectors_keep_the_exact_bound():
+    few, many = np.full(500, 0.01), np.linspace(0, 0.02, 20_000)
+    ones = np.ones(20_000, np.int64)
+    assert multiindex.reach_for(few, ones[:500], 0.14, 0.999, whole=False) == 0.14
+    assert multiindex.reach_for(few, ones[:500], 0.14, 0.999, whole=True) < 0.011
+    assert 0.0199 < multiindex.reach_for(many, ones, 0.14, 0.999, whole=False) < 0.02
+    assert multiindex.reach_for(many[:0], ones[:0], 0.14, 0.999, whole=True) == 0.14
