@@ -4,10 +4,13 @@ A text is lower-cased (A-Z) and its words are the runs of digits, letters a-z an
 non-ASCII characters. Phrases are found where their words stand one behind the
 other, whatever separates them, in one pass of the automaton over the words
 joined by spaces. Behind an ``SPDX-License-Identifier:`` tag, the rest of the
-line is a licence expression (``MIT OR (Apache-2.0 AND BSD-3-Clause)``,
+line starts with a licence expression (``MIT OR (Apache-2.0 AND BSD-3-Clause)``,
 ``GPL-2.0-only WITH Classpath-exception-2.0``), which the parser turns into postfix
 form and evaluates: AND is as strict as its stricter side, OR as lenient as its
-more lenient one, WITH lifts a licence halfway to 1.
+more lenient one, WITH lifts a licence halfway to 1. If the rest is not an expression
+as a whole, its longest start that is one counts, up to the end of the comment, quotation
+or sentence. What breaks off at an operator, or is followed by
+another licence without one (``MIT, GPL``), can't be read.
 
 The score is how freely a document may be used, by its strictest finding: 1 for
 permissive licences, 0 for reserved rights, and ``UNKNOWN_SCORE`` for an
@@ -97,6 +100,12 @@ _TOKEN = re.compile(r"[()]|[a-z0-9.+-]+")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
+#: Ends of comments, quotations and markup, and of a sentence.
+_CLOSING = re.compile(r"""\*+[/)]|-+!?>|--%>|-\}|[\]}"'`<>*#%?!\\]|[.](?=[\s)]|$)""")
+_PART = re.compile(r"[()]|[a-z0-9.+-]+|[^\s()a-z0-9.+-]+")
+_FAMILIES = {name.split("-")[0] for name in IDENTIFIERS}
+
+
 class ExpressionError(ValueError):
     pass
 
@@ -160,6 +169,37 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     return stack[0]
 
 
+def _names_licence(token: str) -> bool:
+    return label_of(token) != UNKNOWN_LABEL or token in _FAMILIES or re.fullmatch(r"[a-z][a-z.+-]*-v?\d[a-z0-9.+-]*", token) is not None
+
+
+def evaluate_start(rest: str, bracketed: bool = False) -> tuple[set[str], float]:
+    """(labels, score) of the expression that a line's rest starts with; ``bracketed``: the tag stands in an open parenthesis."""
+    try:
+        return evaluate(re.sub(r"[.]\s*$", "", rest))
+    except ExpressionError:
+        pass
+    rest = rest.lower().lstrip(" \t\"'`")
+    closing = _CLOSING.search(rest)
+    parts = _PART.findall(rest[: closing.start()] if closing else rest)
+    whole, depth, operand_next = 0, 0, True
+    for k, part in enumerate(parts):
+        operand = _TOKEN.fullmatch(part) is not None and part not in _STRENGTH and part not in "()"
+        if operand_next != (operand or part == "(") or (part == ")" and not depth) or not _TOKEN.fullmatch(part):
+            break
+        depth += (part == "(") - (part == ")")
+        operand_next = part == "(" or part in _STRENGTH
+        if not operand_next and not depth:
+            whole = k + 1
+    left = parts[whole:]
+    if left and (left[0] in _STRENGTH or (left[0] == ")" and not bracketed)):
+        raise ExpressionError("incomplete expression")
+    following = next((p for p in left if _TOKEN.fullmatch(p) and p not in "()"), "") if left[:1] != [")"] else ""
+    if following and (following in _STRENGTH or _names_licence(following.rstrip("."))):
+        raise ExpressionError("another licence without an operator")
+    return evaluate(" ".join(parts[:whole]))
+
+
 @dataclass
 class Finding:
     phrase: str
@@ -197,9 +237,10 @@ class LicenseScanner:
         labels = {f.label for f in found}
         scores = [SCORES[f.label] for f in found]
         if tagged:
-            for expression in _TAG_LINE.findall(text):
+            for tag in _TAG_LINE.finditer(text):
+                before = text[text.rfind("\n", 0, tag.start()) + 1 : tag.start()]
                 try:
-                    names, score = evaluate(expression)
+                    names, score = evaluate_start(tag[1], before.count("(") > before.count(")"))
                 except ExpressionError:
                     names, score = {UNKNOWN_LABEL}, UNKNOWN_SCORE
                 labels |= names

@@ -60,5 +60,35 @@ def test_bad_expressions(expression):
     assert L.LicenseScanner().scan("SPDX-License-Identifier: " + expression)[2:] == ({L.UNKNOWN_LABEL}, L.UNKNOWN_SCORE)
 
 
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("/* SPDX-License-Identifier: MIT */", "mit"),
+        ("/* SPDX-License-Identifier: MIT */ GPL-2.0", "mit"),
+        ("<!-- SPDX-License-Identifier: Apache-2.0 -->", "apache-2"),
+        ("<!--SPDX-License-Identifier: Apache-2.0-->", "apache-2"),
+        ("(* SPDX-License-Identifier: BSD-3-Clause *)", "bsd"),
+        ("SPDX-License-Identifier: MIT.", "mit"),
+        ("SPDX-License-Identifier: GPL-2.0. More words", "gpl-2"),
+        ("The file (SPDX-License-Identifier: MIT) is free", "mit"),
+        ("SPDX-License-Identifier: MIT (see LICENSE)", "mit"),
+        ("SPDX-License-Identifier: MIT, see the file LICENSE", "mit"),
+        ('license = "SPDX-License-Identifier: MIT"', "mit"),
+        ("SPDX-License-Identifier: MIT applies to all files", "mit"),
+    ],
+)
+def test_tags_in_comments_and_prose(text, label):
+    assert L.LicenseScanner().scan(text)[2:] == ({label}, L.SCORES[label])
+
+
+def test_tag_with_an_expression_in_a_comment():
+    assert L.LicenseScanner().scan("/* SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND MPL-2.0 */ x")[2:] == ({"mit", "gpl-3", "mpl-2"}, 0.6)
+
+
+@pytest.mark.parametrize("rest", ["MIT OR */", "(MIT */", "*/", "MIT / GPL-2.0", "MIT (or GPL)", "MIT EUPL-1.2"])
+def test_tags_that_cannot_be_read(rest):
+    assert L.LicenseScanner().scan("/* SPDX-License-Identifier: " + rest)[2:] == ({L.UNKNOWN_LABEL}, L.UNKNOWN_SCORE)
+
+
 def test_no_documents(spark):
     assert L.license_findings(no_documents(spark)).collect() == []
