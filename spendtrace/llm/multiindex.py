@@ -46,9 +46,10 @@ from spendtrace.llm.staging import stored
 SAMPLE_ROWS = 4096
 MEMBERS = 1024
 VISITORS = 4096
-#: Vectors that calibrate the reach, and the most components they hold together.
-CALIBRATION_ROWS = 16384
-CALIBRATION_VALUES = 1 << 22
+#: Vectors that calibrate the reach; the second number where the first has too few with links.
+CALIBRATION_ROWS = (16384, 65536)
+#: Most components and bounds that they hold together.
+CALIBRATION_VALUES = 1 << 23
 _SLACK = 1e-9
 
 
@@ -372,7 +373,16 @@ def _links_of_length(reps: DataFrame, dim: int, n: int, threshold: float, target
 
 def _calibrated(reps: DataFrame, index: MultiIndex, padded: Callable, dim: int, n: int, threshold: float, target_recall: float) -> float:
     """Reach for ``target_recall``, from a sample of the vectors against all rows."""
-    size = max(1, min(CALIBRATION_ROWS, CALIBRATION_VALUES // dim))
+    limit = 2 - 2 * threshold + _SLACK
+    most = max(1, CALIBRATION_VALUES // (dim + sum(len(b) for b in index.books)))
+    for size in sorted({min(x, most) for x in CALIBRATION_ROWS}):
+        reach = _calibrated_on(size, reps, index, padded, n, threshold, target_recall)
+        if reach < limit or size >= n:
+            break
+    return reach
+
+
+def _calibrated_on(size: int, reps: DataFrame, index: MultiIndex, padded: Callable, n: int, threshold: float, target_recall: float) -> float:
     sample = reps.orderBy(F.xxhash64("rep", F.lit("calibration")), "rep").limit(size).select("rep", "label", "embedding").toArrow()
     meeting = Calibration(index, padded(sample["embedding"]), sample["rep"].to_numpy(), sample["label"].to_pylist(), threshold)
 
