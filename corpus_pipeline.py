@@ -35,7 +35,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = convnet.train_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # Learned from the whole table: the stages before leave hardly any label 0 to learn from.
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = convnet.train_classifier(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     verdicts = convnet.quality_scores(docs, net).select("doc_id", F.expr("predicted = 1").alias("kept"))
     return _only(docs, verdicts, "rejected-classifier")
 

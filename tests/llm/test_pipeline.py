@@ -43,3 +43,16 @@ def test_contract_columns(spark):
         if (op := name.split("_")[0]) in want:
             df = query(spark, SF)
             assert df.columns == want[op] and df.count() > 0
+
+
+def test_classifier_rejects_bad_documents_among_good_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    # Held-out documents of label 0: those that stay are labelled alike, so they alone teach nothing.
+    bad = {37, 67, 167}
+    good = {i for i, y in labels.items() if y == 1}
+    assert all(labels[i] == 0 for i in bad)
+    some = docs.where(docs.doc_id.isin(*bad, *good))
+    kept = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, some, sf).collect()}
+    assert not bad & kept and len(good & kept) >= 0.98 * len(good)
