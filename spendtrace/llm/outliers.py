@@ -14,8 +14,9 @@ bin rows. Only those are handled per group.
 
 Defined results: a null text has no words and fails the base rules, as an empty
 one does. Null language and source count as ''. Groups of fewer than
-``min_rows`` rows share one estimate per language; where that is still too few
-there is no estimate and nothing more is rejected. Repeated rows and ties count
+``min_rows`` rows are judged by the estimate of all rows of their language, large
+sources included; where that has too few rows, by the estimate of all rows. Only a table
+with fewer rows than that has no estimate, and nothing more is rejected. Repeated rows and ties count
 as often as they occur. Columns other than those named are ignored.
 """
 
@@ -181,20 +182,24 @@ def mahalanobis2() -> F.Column:
 
 
 def grouped_vectors(stats: DataFrame, min_rows: int) -> DataFrame:
-    """Vectors of the rows that pass the base rules, each under its group ``g`` (null: too few rows)."""
+    """Vectors of the rows that pass the base rules.
+
+    Each has the group ``g`` that judges it (null: too few rows in all) and
+    ``gs``, the groups whose estimates it is part of.
+    """
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     rows = stats.where(~base_failed()).select(
         "doc_id", lang.alias("lang"), source.alias("source"), *[x.alias(f"x{i}") for i, x in enumerate(transformed())]
     )
     sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("small", F.col("n") < min_rows)
-    pooled = sizes.where("small").groupBy("lang").agg(F.sum("n").alias("pool"))
-    named = sizes.join(pooled, "lang", "left").select(
-        "lang",
-        "source",
-        F.when(~F.col("small"), F.concat(F.lit("s\t"), "lang", F.lit("\t"), "source"))
-        .when(F.col("pool") >= min_rows, F.concat(F.lit("l\t"), "lang"))
-        .alias("g"),
+    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.bool_or("small").alias("asks_lang"))
+    totals = by_lang.agg(F.sum("of_lang").alias("of_all"), F.bool_or(F.col("of_lang") < min_rows).alias("asks_all"))
+    own = F.when(~F.col("small"), F.concat(F.lit("s\t"), "lang", F.lit("\t"), "source"))
+    of_lang = F.when(F.col("asks_lang") & (F.col("of_lang") >= min_rows), F.concat(F.lit("l\t"), "lang"))
+    of_all = F.when(F.col("asks_all") & (F.col("of_all") >= min_rows), F.lit("a"))
+    named = sizes.join(by_lang, "lang").crossJoin(totals).select(
+        "lang", "source", F.coalesce(own, of_lang, of_all).alias("g"), F.array_compact(F.array(own, of_lang, of_all)).alias("gs")
     )
     return rows.join(named, ["lang", "source"]).drop("lang", "source")
 
@@ -239,7 +244,8 @@ def quality_verdicts(
     stats = document_statistics(docs.select("doc_id", "text", "lang", "source"))
     stats = stored(stats.select("doc_id", "lang", "source", *[F.col("stats")[c].alias(c) for c in COUNTS]), "stats")
     vectors = stored(grouped_vectors(stats, min_rows), "vectors")
-    estimates = mcd_estimates(vectors, support, steps)
+    parts = vectors.select(F.explode("gs").alias("g"), *[f"x{i}" for i in range(DIM)])
+    estimates = mcd_estimates(parts, support, steps)
     judged = vectors.join(estimates, "g", "left").select("doc_id", mahalanobis2().alias("distance2"))
     passed = judged.select("doc_id", "distance2", F.lit(False).alias("base_failed"))
     return _with_counts(stats, passed, cutoff)

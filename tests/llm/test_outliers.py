@@ -85,3 +85,19 @@ def test_estimates_match_a_dense_computation(spark):
 
 def test_chi2():
     assert abs(outliers.chi2_quantile(0.975, 4) - 11.1433) < 1e-3
+
+
+def test_small_groups_are_judged_by_their_language_or_by_all_rows(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(300)]
+
+    def prose():
+        return " ".join(rng.choice(vocabulary, 120))
+
+    rows = [(i, prose(), "en", "web") for i in range(80)]  # enough rows in one source
+    rows += [(100 + i, prose(), "en", f"rare{i % 3}") for i in range(9)]
+    rows += [(200 + i, prose(), "fr", "web") for i in range(6)]  # a language of few rows
+    rows += [(300, "$$$ %%% " * 60 + prose(), "en", "rare1"), (301, "$$$ %%% " * 60 + prose(), "fr", "web")]
+    got = outliers.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.distance2 is not None for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {300, 301}
