@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtrace.llm import bpe, convnet, licenses, multiindex, oddsketch, outliers, packing, preference, ring, warc
+from spendtrace.llm import bpe, convnet, licenses, multiindex, oddsketch, outliers, packing, preference, ring, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convnet.quality_scores(docs, convnet.train_classifier(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(_table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -98,5 +102,6 @@ QUERIES: dict[str, Query] = {
         op8_multi_index_dedup,
         op9_best_fit_packing,
         op10_quality_classifier,
+        op11_exact_whitening,
     )
 }
