@@ -398,7 +398,7 @@ def fit_whitening(fit: DataFrame, components: int = COMPONENTS) -> Whitening | N
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "e", "share", "vector"])
 
     found = spark.range(1, wanted + 1, 1, wanted).mapInArrow(solve, "k long, e double, share double, vector array<double>")
-    table = found.orderBy("k").toArrow()
+    table = found.toArrow().sort_by("k")
     return Whitening(
         n, s, np.array(table["vector"].to_pylist()), np.sqrt(table["e"].to_numpy()), table["share"].to_numpy()
     )
@@ -489,18 +489,18 @@ def whitened_vectors(vectors: DataFrame, components: int = COMPONENTS) -> DataFr
             at, y = at[right], y[np.repeat(right, lengths)].reshape(-1, dim)
             for a in range(0, len(at), _ROWS):
                 part = y[a : a + _ROWS]
-                deviations = [v for v in model.deviations(part) for _ in range(k)]
-                rows = len(part) * k
-                ids = batch.column(0).take(pa.array(np.repeat(at[a : a + _ROWS], k)))
+                deviations = model.deviations(part)
+                rows, each = len(part) * k, pa.array(np.repeat(np.arange(len(part)), k))
+                ids = batch.column(0).take(pa.array(at[a : a + _ROWS])).take(each)
                 columns = {
                     "vec_id": ids.cast(pa.int64()),
                     "component": pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(part))),
                     "n": pa.array(np.full(rows, model.n)),
-                    "deviation": pa.array([v if v < 1 << 63 else None for v in deviations], pa.int64()),
+                    "deviation": pa.array([v if v < 1 << 63 else None for v in deviations], pa.int64()).take(each),
                     "whitened": pa.array(model.whitened(part).ravel()),
                     "explained": pa.array(np.tile(model.explained, len(part))),
                     "identity_error": pa.array(np.full(rows, error)),
-                    "deviation_exact": pa.array([v if v < 10**38 else None for v in deviations], pa.decimal128(38, 0)),
+                    "deviation_exact": pa.array([v if v < 10**38 else None for v in deviations], pa.decimal128(38, 0)).take(each),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
