@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace.llm.staging import stored
+from spendtrace.llm.textnum import mix
 
 SHORTEST, LONGEST = 2, 6
 LIST = 32
@@ -186,27 +187,35 @@ def entries(words: DataFrame, grams: GramDictionary) -> DataFrame:
 
 def _entry_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(rows), 2000):
-        words, ns, needs, lists, homes, keys = [], [], [], [], [], []
-        for word, n, level, found, affected in rows[a : a + 2000]:
+        part = rows[a : a + 2000]
+        needs, lists, owner, keys = [], [], [], []
+        for i, (word, _, level, found, affected) in enumerate(part):
             need = max(1, len(found) - affected)
             seen: dict[int, int] = {}
             numbered = []  # the second occurrence of a gram is another element, and so on
             for rank, _ in found if len(found) <= GRAMS else ():  # longer lists are not counted
                 numbered.append(rank + (seen.get(rank, 0) << 17))
                 seen[rank] = seen.get(rank, 0) + 1
+            needs.append(need)
+            lists.append(numbered)
             for rank, place in sorted(found)[: len(found) - need + 1]:
-                for home, p, length in ((True, place, len(word)), (False, place, len(word) + 1), (False, place + 1, len(word) + 1)):
-                    words.append(word)
-                    ns.append(n)
-                    needs.append(need)
-                    lists.append(numbered)
-                    homes.append(home)
-                    keys.append((level, rank, p, length))
-        key = (np.array(keys, dtype=np.uint64) * _KEY).sum(axis=1, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words), pa.array(ns, pa.int64()), pa.array(needs, pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(homes), pa.array(key)],
-            names=["word", "n", "need", "grams", "home", "key"],
-        )
+                owner.append(i)
+                keys.append((level, rank, place, len(word)))
+        # Three entries each: at home, and as the shorter word left and right of the edit.
+        key = np.repeat(np.array(keys, dtype=np.uint64).reshape(-1, 4), 3, axis=0)
+        key[1::3, 3] += np.uint64(1)
+        key[2::3, 2:] += np.uint64(1)
+        key = (key * _KEY).sum(axis=1, dtype=np.uint64).view(np.int64)
+        each = pa.array(np.repeat(np.array(owner, dtype=np.int64), 3))
+        columns = [
+            pa.array([r[0] for r in part]).take(each),
+            pa.array([r[1] for r in part], pa.int64()).take(each),
+            pa.array(needs, pa.int32()).take(each),
+            pa.array(lists, pa.list_(pa.int32())).take(each),
+            pa.array(np.arange(len(key)) % 3 == 0),
+            pa.array(key),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "need", "grams", "home", "key"])
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -221,18 +230,19 @@ def one_edit(a: str, b: str) -> bool:
     return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :]
 
 
-def _matrices(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points (zero behind the end) and numbered grams (distinct fillers) of each row, and which rows fit in them."""
+def _matrices(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: code points (zero behind the end), numbered grams (-1 behind), whether they fit in that, and a bit for each gram's hash."""
     words = np.array([w[:WIDTH] for w in table["word"].to_pylist()], dtype=f"U{WIDTH}")
     points = words.view(np.uint32).reshape(len(words), WIDTH)
     lists = table["grams"].combine_chunks()
     lengths = lists.value_lengths().to_numpy()
-    grams = np.full((len(words), GRAMS), -1, dtype=np.int32)
+    grams = np.full((len(words), max(1, lengths.max(initial=0))), -1, dtype=np.int32)
     flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     grams[owner, place] = flat
     fits = (pa.compute.utf8_length(table["word"]).to_numpy() <= WIDTH) & (lengths > 0)
-    return points, grams[:, : max(1, lengths.max(initial=0))], fits
+    bits = np.where(grams >= 0, np.uint64(1) << (mix(grams.astype(np.uint64)) >> np.uint64(58)), np.uint64(0))
+    return points, grams, fits, np.bitwise_or.reduce(bits, axis=1)
 
 
 def near_pairs(table: pa.Table) -> pa.Table:
@@ -241,9 +251,11 @@ def near_pairs(table: pa.Table) -> pa.Table:
     size = len(cells)
     edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
     last = np.repeat(edges[1:], np.diff(edges))
-    points, grams, fits = _matrices(table)
+    points, grams, fits, bits = _matrices(table)
     words, length = table["word"], pa.compute.utf8_length(table["word"]).to_numpy()
     home, need, block, two = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "need", "block", "two"))
+    # Common grams have common bits, but for those of a word that fall on one bit.
+    least_bits = need.astype(np.int64) - ((grams >= 0).sum(axis=1) - np.bitwise_count(bits))
     after = last - np.arange(size) - 1
     upto = np.cumsum(after)
     found, start = [], 0
@@ -260,7 +272,8 @@ def near_pairs(table: pa.Table) -> pa.Table:
         ok &= ~two[i] | (block[i] != block[j])
         i, j = i[ok], j[ok]
         plain = fits[i] & fits[j]
-        some = i[plain], j[plain]
+        enough = np.bitwise_count(bits[i] & bits[j]) >= np.maximum(least_bits[i], least_bits[j])
+        some = i[plain & enough], j[plain & enough]
         common = np.zeros(len(some[0]), dtype=np.int16)
         theirs = grams[some[1]]
         for k in range(grams.shape[1]):
