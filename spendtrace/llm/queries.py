@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtrace.llm import bpe, convnet, licenses, multiindex, oddsketch, outliers, packing, preference, ring, variants, warc, whitening
+from spendtrace.llm import bpe, convnet, licenses, multiindex, oddsketch, outliers, packing, preference, ring, substrings, variants, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,10 @@ def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_vectors(_table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op12_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(_table(spark, sf_dir, "documents"), window=20)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = variants.counted_words(_table(spark, sf_dir, "documents"), least_length=5, least_count=3, delete_one_in=97)
     return variants.spelling_variants(words, dominance=2)
@@ -108,6 +112,7 @@ QUERIES: dict[str, Query] = {
         op9_best_fit_packing,
         op10_quality_classifier,
         op11_exact_whitening,
+        op12_suffix_tree_dedup,
         op13_spelling_variants,
     )
 }
