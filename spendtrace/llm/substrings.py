@@ -266,7 +266,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     firsts = stored(rows.groupBy("digest").agg(F.min("place").alias("first_place")), "first-texts")
     occurring = rows.select(F.explode("grams").alias("gram"), "digest")
     counts = occurring.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = counts.select("gram", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
+    # Written, so that the engine can split a gram that many texts have.
+    blocks = stored(counts.select("gram", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")), "grams-repeated")
     hits = occurring.join(blocks, "gram").groupBy("digest").agg(F.collect_set(F.struct("gram", "blocks")).alias("repeated"))
     hits = stored(hits.join(firsts, "digest"), "repeated-grams")
     # Only first occurrences of texts with repeated grams are read again.
