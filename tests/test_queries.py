@@ -1,4 +1,4 @@
-"""Every registered query next to its independent SQL."""
+"""Every query of the cost library next to its independent SQL."""
 
 import re
 
@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from checks.compare import difference, duckdb_views
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,12 +18,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    df = entry_points.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     # No cross joins, and nothing leaves the JVM.
     assert not re.search("CartesianProduct|NestedLoopJoin|EvalPython|InPandas|InArrow", plan)
