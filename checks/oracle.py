@@ -915,3 +915,21 @@ oracle(
   rule || ': ' || {_two('used')} || ' of ' || printf('%.2f', "limit") || ' credits' AS message
 FROM ({' UNION ALL '.join(_rule(r) for r in EXAMPLE_RULES)}) x""",
 )
+
+# --- tables and streams -----------------------------------------------------
+
+oracle("append_logs_result", "SELECT * FROM req WHERE semantic_model_name IS NOT NULL")
+oracle("log_ingest_result", "SELECT * FROM req WHERE semantic_model_name IS NOT NULL")
+oracle("load_logs_result", "SELECT * FROM req UNION ALL SELECT * FROM req WHERE response_status_code = 500")
+oracle("build_query_history_result", "SELECT * FROM hist")
+
+
+def _reached(rule: tuple) -> str:
+    name, period, limit, *toggles = rule
+    chosen = ", ".join(f"'{s}'" for s, on in zip(_ALL, toggles) if on)
+    start = f"CAST(date_trunc('{period.lower()}', start_time) AS DATE)"
+    return f"""SELECT '{name}' AS rule, '{period}' AS period, CAST({start} AS VARCHAR) AS period_start, {limit}::DOUBLE AS "limit",
+  true AS reached FROM services WHERE service IN ({chosen}) GROUP BY {start} HAVING {dbl('SUM(credits)')} >= {limit}::DOUBLE"""
+
+
+oracle("budget_stream_alerts", " UNION ALL ".join(_reached(r) for r in EXAMPLE_RULES))

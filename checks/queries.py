@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.bindings import AS_OF, AS_OF_ORDERS, END, ORDERS_END, ORDERS_START, START, BoundTables
+from checks.stored import STORED
 from spendtrace.functions import exprs as X
 from spendtrace.functions import sqltext as S
 from spendtrace.operators import agent_costs as G
@@ -319,3 +320,8 @@ query("custom_budget_alert_ok")(
     lambda t: H.custom_budget_alert(t.metering, "WEEK", 1e8, "Acme Corporation", AS_OF_ORDERS)
 )
 query("budget_tiers")(lambda t: H.budget_tiers(t, H.budget_rules(t.spark), AS_OF))
+
+# --- tables and streams -----------------------------------------------------
+
+for _name, _build in STORED.items():
+    query(_name)(_build)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendtrace.functions import exprs as X
 from spendtrace.operators.attribution import query_history_cost
 from spendtrace.schemas import REQUEST_LOG
+from spendtrace.sources.snapshots import publish
 
 # The log table is partitioned by day, so appends and windows touch few files.
 LOG_DATE = "log_date"
@@ -106,21 +106,13 @@ def build_query_history(
 ) -> bool:
     """Save query history with cost; returns whether the table was written.
 
-    ``create`` leaves an existing table alone, ``refresh`` replaces its rows
-    (and recreates it if its columns no longer fit), ``replace`` recreates it.
+    ``create`` leaves an existing table alone; ``refresh`` and ``replace`` publish
+    a whole new version, with whatever columns it has, so readers and failures meet
+    the old rows or the new.
     """
     if mode not in ("create", "refresh", "replace"):
         raise ValueError(f"mode must be create, refresh or replace, not {mode!r}")
-    spark = query_history.sparkSession
-    exists = table_exists(spark, table)
-    if exists and mode == "create":
+    if table_exists(query_history.sparkSession, table) and mode == "create":
         return False
-    rows = query_history_cost(query_history, query_attribution, as_of, **selection)
-    if exists and mode == "refresh" and spark.table(table).columns == rows.columns:
-        try:
-            rows.write.insertInto(table, overwrite=True)
-            return True
-        except AnalysisException:
-            pass  # types changed since the table was made: recreate it below
-    rows.write.format("parquet").mode("overwrite").saveAsTable(table)
+    publish(query_history_cost(query_history, query_attribution, as_of, **selection), table)
     return True
