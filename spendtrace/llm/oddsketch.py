@@ -13,22 +13,20 @@ Groups need no comparison of all their pairs:
 * first each representative is compared with the smallest one that any of its
   buckets has, then, within each bucket, the smallest of each component formed
   so far with the bucket's smallest; both give at most a pair per member;
-* last, members of different components are compared within a bucket.
-  Buckets over ``BUCKET`` members (a passage shared by many documents) are first
-  divided by every other band, so that compared pairs agree on two bands. A true
-  pair that shares one band shares one of the others with probability above
-  0.99999, so nothing is capped or dropped.
+* last, members of different components are compared within a bucket, by size
+  class, in numpy and in blocks of bounded size, whatever the bucket's size; so a
+  pair whose only common band is that of a passage many share is found too.
 
 A pair at similarity 0.75 has no common band with probability 5e-6, and a sketch
-estimate below ``FLOOR`` with 1e-4 (at 0.77, with 1e-6).
+estimate below ``FLOOR`` with 1e-8.
 
 Texts are not shuffled but for documents in some candidate pair: the scan
-drops others by a bitmap of fixed size, which may let a few pass, and a join
+drops others by a bitmap sized by the candidates (up to a limit, beyond which more pass), and a join
 drops those.
 
 Defined results: a null or empty text, or one without words, has an empty set,
 links with nothing and is its own component (repeated ids: one component per
-id). A text of one to four words has its whole word sequence as only shingle.
+id). An empty table gives no rows. A text of one to four words has its whole word sequence as only shingle.
 A null doc_id is kept as a row, without links. Rows are returned one per input
 row; columns other than those named are ignored.
 """
@@ -39,11 +37,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtrace.llm.components import connected_components
+from spendtrace.llm.membership import maybe_member
 from spendtrace.llm.staging import bounded_batches, stored
 from spendtrace.llm.textnum import mix, slices, window_hashes, words
 
@@ -53,14 +52,15 @@ SAMPLES = 512
 SKETCH_BITS = 1024
 SKETCH_WORDS = SKETCH_BITS // 64
 #: Estimates have a standard deviation of about 0.023 at similarity 0.75.
-FLOOR = 0.66
-BUCKET = 128
-#: Cells of up to so many members are joined, larger ones compared in blocks.
-FEW = 12
-BLOCK_MEMBERS = 1024
+FLOOR = 0.62
+#: Members of a bucket's size class that are compared at once.
+BLOCK_MEMBERS = 16384
+#: Cells up to so many members are compared together, larger ones row block by row block.
+SMALL_CELL = 256
+_PAIRS = 1 << 17
 _BLOCK = 1024
-#: Bits of the bitmap of candidate ids, 1 MB whatever the data.
-BITMAP_BITS = 1 << 23
+#: Bytes of text hashed at once: small, as a worker also holds a batch's sets.
+SLICE = 256 << 10
 
 _RNG = np.random.default_rng(977)
 _XOR = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
@@ -81,7 +81,7 @@ SIGNATURE = T.StructType(
 
 def shingle_sets(texts: pa.Array):
     """Sorted distinct shingle hashes of each text, in row order."""
-    for a, b, joined, at in slices(texts):
+    for a, b, joined, at in slices(texts, SLICE):
         joined = joined.lower()  # bytes: A-Z only
         starts, _, hashes = words(np.frombuffer(joined, dtype=np.uint8))
         first = np.searchsorted(starts, at)
@@ -180,29 +180,8 @@ def possible(threshold: int) -> F.Column:
     return sizes & (differing_bits(range(QUARTER)) <= MOST_QUARTER_BITS) & (differing_bits(range(SKETCH_WORDS)) <= MOST_BITS)
 
 
-def _place(column: str) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
-
-
-def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id: at most ``BITMAP_BITS / 64`` words reach the driver."""
-    words = ids.select(_place("doc_id").alias("at")).selectExpr("at >> 6 AS word", "1L << cast(at & 63 AS int) AS bit")
-    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
-    bitmap[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return bitmap
-
-
-def maybe_in(ids: DataFrame) -> F.Column:
-    """False for rows whose doc_id is certainly not in ``ids``, by their bitmap."""
-    bitmap = id_bitmap(ids)
-
-    @F.arrow_udf("boolean")
-    def maybe(places: pa.Array) -> pa.Array:
-        at = places.fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return maybe(_place("doc_id"))
+def _ids(column: str) -> Column:
+    return F.xxhash64(column)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
@@ -222,7 +201,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
 
     pairs = stored(pairs.select("a", "b").distinct(), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = docs.select("doc_id", "text").where(maybe_in(ids)).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    needed = docs.select("doc_id", "text").where(maybe_member(ids.select(_ids("doc_id").alias("id")), _ids("doc_id"))).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(needed.select("doc_id", full_set("text").alias("shingles")), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
@@ -231,87 +210,121 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * common >= threshold * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def _side(members: DataFrame, side: str, *others: str) -> DataFrame:
-    """Members as one side of pairs: all columns but the keys get the side's suffix, ``rep`` becomes the side itself."""
-    kept = [c for c in ("key", "key2") if c in members.columns]
+def _side(members: DataFrame, side: str) -> DataFrame:
+    """Members as one side of pairs: columns get the side's suffix, ``rep`` becomes the side itself."""
     return members.select(
-        *kept,
         F.col("rep").alias(side),
         F.col("n_shingles").alias(f"n_{side}"),
         *[F.col(f"s{k}").alias(f"s{k}_{side}") for k in range(SKETCH_WORDS)],
-        *[F.col(c).alias(f"{c}_{side}") for c in others],
     )
 
 
-def _first_common_key() -> F.Column:
-    """Whether the columns key, key2 are the first bands that short_a and short_b (32 bits of each band's key) share."""
-    common = F.filter(F.zip_with("short_a", "short_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    first, second = common[0], F.get(common, F.lit(1))
-    divided = (F.col("key") == F.least(first, second)) & (F.col("key2") == F.greatest(first, second))
-    return F.when(F.col("key2") >= 0, F.coalesce(divided, F.lit(False))).otherwise(F.col("key") == first)
-
-
-def block_pairs(block: pa.Table, threshold: int) -> pa.Table:
-    """Pairs of two blocks of a cell, or within one, that pass the same tests as in :func:`near_duplicates`."""
-    col = {c: block[c].to_numpy() for c in ("rep", "component", "n_shingles", "mine", "m", "q", "key", "key2")}
-    sketch = np.stack([block[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)], axis=1).view(np.uint64)
-    short = block["short"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    m, q, key, key2 = (int(col[c][0]) for c in ("m", "q", "key", "key2"))
-    left, right = np.flatnonzero(col["mine"] == m), np.flatnonzero(col["mine"] == q)
-    found = []
-    for k in range(0, len(left), 128):
-        l = left[k : k + 128]
-        bits = np.bitwise_count(sketch[l][:, None, :QUARTER] ^ sketch[right][None, :, :QUARTER]).sum(axis=2, dtype=np.int64)
-        n, other = col["n_shingles"][l][:, None], col["n_shingles"][right][None]
-        ok = (bits <= MOST_QUARTER_BITS) & (100 * np.minimum(n, other) >= threshold * np.maximum(n, other))
-        ok &= col["component"][l][:, None] != col["component"][right][None]
-        a, b = np.nonzero(ok)
-        a, b = l[a], right[b]
-        keep = col["rep"][a] < col["rep"][b] if m == q else np.ones(len(a), dtype=bool)
-        a, b = a[keep], b[keep]
-        keep = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= MOST_BITS
-        a, b = a[keep], b[keep]
-        equal = short[a] == short[b]
-        rows, first = np.arange(len(a)), equal.argmax(axis=1)
-        one = short[a, first]
-        if key2 >= 0:
-            equal[rows, first] = False
-            two = np.where(equal.any(axis=1), short[a, equal.argmax(axis=1)], -1)
-            keep = (np.minimum(one, two) == key) & (np.maximum(one, two) == key2)
-        else:
-            keep = one == key
-        found.append(np.sort(np.stack([col["rep"][a[keep]], col["rep"][b[keep]]], axis=1), axis=1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _crossing(cells: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components in a cell that may reach the threshold, each once.
-
-    Cells of a few members are joined with themselves; larger ones are compared
-    in numpy, in blocks of at most about ``BLOCK_MEMBERS`` against another, so that
-    no task holds a whole cell.
+class _Cells:
+    """Rows of cells (sorted by ``cell``) as arrays, and the tests that a pair of rows must pass."""
+
+    def __init__(self, table: pa.Table, threshold: int):
+        self.threshold = threshold
+        names = ("cell", "rep", "component", "n_shingles", "home", "block", "two")
+        self.cell, self.rep, self.component, self.n, self.home, self.block, self.two = (
+            table[c].to_numpy(zero_copy_only=False) for c in names
+        )
+        self.sketch = np.stack([table[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)], axis=1).view(np.uint64)
+
+    def passed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs (rep, rep), smaller first, of those rows that sizes and sketches do not exclude."""
+        ok = (self.component[i] != self.component[j]) & (self.home[i] | self.home[j])
+        ok &= ~self.two[i] | (self.block[i] != self.block[j])
+        i, j = i[ok], j[ok]
+        n, other = self.n[i], self.n[j]
+        ok = 100 * np.minimum(n, other) >= self.threshold * np.maximum(n, other)
+        i, j = i[ok], j[ok]
+        for words, most in ((QUARTER, MOST_QUARTER_BITS), (SKETCH_WORDS, MOST_BITS)):
+            ok = np.bitwise_count(self.sketch[i, :words] ^ self.sketch[j, :words]).sum(axis=1, dtype=np.int64) <= most
+            i, j = i[ok], j[ok]
+        return np.sort(np.stack([self.rep[i], self.rep[j]], axis=1), axis=1)
+
+    def pairs(self) -> np.ndarray:
+        size = len(self.cell)
+        edges = np.flatnonzero(np.concatenate([[True], self.cell[1:] != self.cell[:-1], [True]]))
+        last = np.repeat(edges[1:], np.diff(edges))
+        after = last - np.arange(size) - 1
+        after[last - np.repeat(edges[:-1], np.diff(edges)) > SMALL_CELL] = 0
+        upto, found, start = np.cumsum(after), [np.zeros((0, 2), dtype=np.int64)], 0
+        while start < size:
+            done = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + _PAIRS, side="right")))
+            counts = after[start:stop]
+            i = np.repeat(np.arange(start, stop), counts)
+            found.append(self.passed(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)))
+            start = stop
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a > SMALL_CELL:
+                found += self._large(a, b)
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _large(self, a: int, b: int) -> list[np.ndarray]:
+        """Pairs of a large cell: blocks of rows against all after them, by the first words of their sketches."""
+        found = []
+        for k in range(a, b, 64):
+            left = np.arange(k, min(k + 64, b))
+            bits = np.bitwise_count(self.sketch[left, 0][:, None] ^ self.sketch[None, k:b, 0]).astype(np.int16)
+            for w in range(1, QUARTER):
+                bits += np.bitwise_count(self.sketch[left, w][:, None] ^ self.sketch[None, k:b, w])
+            near = (bits <= MOST_QUARTER_BITS) & (self.component[left][:, None] != self.component[None, k:b])
+            i, j = np.nonzero(near)
+            later = j > i
+            found.append(self.passed(left[i[later]], k + j[later]))
+        return found
+
+
+def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket (``key``) that may reach the threshold.
+
+    Sets of sizes out of the threshold's ratio cannot, so a member meets its own size
+    class and, as a visitor, the next. A class of more than ``block`` members is divided into
+    blocks, each pair of which is a cell, so no task holds a bucket.
     """
-    cell = ["key", "key2"]
-    sizes = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    cells = stored(cells.join(sizes, cell), "cells")
-    few = cells.where(F.col("size") <= FEW)
-    others = ("component", "short")
-    pairs = _side(few, "a", *others).join(_side(few, "b", *others), cell)
-    apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
-    small = pairs.where(apart & possible(threshold) & _first_common_key()).select("a", "b")
-
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    many = cells.where(F.col("size") > FEW).withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    met = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.withColumn("m", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other")).drop("other", "size")
-    large = met.groupBy(*cell, "m", "q").applyInArrow(lambda t: block_pairs(t, threshold), "a long, b long")
-    return small.union(large)
+    base = max(100 / threshold, 1.01) * (1 + 1e-9)
+    size_class = F.floor(F.ln("n_shingles") / float(np.log(base))).cast("int")
+    classed = members.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
+    classed = stored(classed.withColumn("class", size_class + F.when(F.col("home"), 0).otherwise(1)), "cells")
+    sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes"))
+    # A pair needs a home member and another.
+    sizes = sizes.where("homes > 0 and size > 1").select("key", "class", F.ceil(F.col("size") / (block or BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    dealt = classed.join(stored(sizes, "cell-sizes"), ["key", "class"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
+    cell = F.xxhash64("key", "class", low, high).alias("cell")
+    dealt = dealt.select(cell, "rep", "component", "n_shingles", "home", "block", (low != high).alias("two"), *sketch)
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last cell of a batch may go on in the next.
+            final = batch.column("cell")[batch.num_rows - 1].as_py()
+            cut = int(np.searchsorted(batch.column("cell").to_numpy(), final))
+            held.append(batch.slice(0, cut))
+            if cut:
+                yield found_in(held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield found_in(held)
+
+    def found_in(batches):
+        pairs = _Cells(pa.Table.from_batches(batches), threshold).pairs()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, per row of ``docs``."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 256)
     docs = docs.select("doc_id", "text")
     signed = stored(with_signatures(docs), "signatures")
     reps = stored(
@@ -329,9 +342,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members"))
-    shared = stored(
-        keyed.join(buckets.where("members > 1"), "key").select("key", "rep", "leader", "members"), "buckets"
-    )
+    shared = stored(keyed.join(buckets.where("members > 1"), "key").select("key", "rep", "leader"), "buckets")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
         sized = pairs.distinct().join(_side(plain, "a"), "a").join(_side(plain, "b"), "b")
@@ -350,18 +361,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     again = lows.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = links.union(links_of(again, "links-second"))
 
-    open_buckets = members_by(links)
-    # From here a band goes by 32 bits of its key: more may meet under a key, which only costs comparisons.
-    short = F.transform("bands", lambda b: b.bitwiseAND(0xFFFFFFFF))
-    members = open_buckets.join(reps.select("rep", short.alias("short")), "rep")
-    key, hot = F.col("key").bitwiseAND(0xFFFFFFFF), F.col("members") > BUCKET
-    columns = ["rep", "component", "short"]
-    small = members.where(~hot).select(key.alias("key"), F.lit(-1).cast("long").alias("key2"), *columns)
-    divided = members.where(hot).withColumn("other", F.explode("short")).where(F.col("other") != key)
-    divided = divided.select(F.least(key, "other").alias("key"), F.greatest(key, "other").alias("key2"), *columns)
-    cells = small.union(divided).dropDuplicates(["key", "key2", "rep"])
-    # A pair meets under every key it shares and is compared under the first.
-    cross = _crossing(cells.join(plain, "rep"), threshold)
+    cross = _crossing(members_by(links).select("key", "rep", "component").join(plain, "rep"), threshold)
     more = stored(confirmed(cross, docs, threshold), "links-cross")
     joined = connected_components(links.union(more))
     classes = reps.select("digest", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")

@@ -56,9 +56,8 @@ def test_no_documents(spark):
 
 
 def test_groups_chains_and_shared_passages(spark, monkeypatch):
-    """A large near-copy group, chains at the threshold, and a passage in many documents, with hot buckets divided."""
-    monkeypatch.setattr(oddsketch, "BUCKET", 6)
-    monkeypatch.setattr(oddsketch, "FEW", 4)
+    """A large near-copy group, chains at the threshold, and a passage in many documents, with large cells in blocks."""
+    monkeypatch.setattr(oddsketch, "SMALL_CELL", 4)
     monkeypatch.setattr(oddsketch, "BLOCK_MEMBERS", 8)
     rng = random.Random(4)
 
@@ -108,3 +107,25 @@ def test_sketch_is_the_parity_of_sample_bits():
     least = oddsketch.min_hashes(np.arange(1, 50, dtype=np.uint64))
     assert sum(int(w).bit_count() for w in oddsketch.odd_sketch(least)) % 2 == oddsketch.SAMPLES % 2
     assert len(next(oddsketch.shingle_sets(pa.array(["a b c d e f"])))) == 2
+
+
+def test_pair_whose_only_common_band_is_hot(spark):
+    """Members of one bucket alone, many of them: the two that are near are found, whatever the bucket's size."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(700):
+        sketch = rng.integers(-(2**63), 2**63 - 1, oddsketch.SKETCH_WORDS)
+        rows.append((7, i, i, 100 + i % 60, sketch))
+    near = rows[650][4].copy()
+    near[0] ^= 5  # two bits
+    rows.append((7, 900, 900, rows[650][3] + 1, near))
+    rows.append((7, 901, 650, rows[650][3], rows[650][4]))  # the same component: not compared
+    rows.append((8, 902, 902, rows[650][3], rows[650][4]))  # another bucket
+    rows.append((7, 903, 903, 1000, rows[650][4]))  # too large a set
+    columns = ["key", "rep", "component", "n_shingles", *[f"s{k}" for k in range(oddsketch.SKETCH_WORDS)]]
+    flat = [(*r[:4], *map(int, r[4])) for r in rows]
+    schema = ", ".join(f"{c} long" for c in columns)
+    df = spark.createDataFrame(flat, schema).repartition(3)
+    for block in (None, 90):
+        got = {(r.a, r.b) for r in oddsketch._crossing(df, 75, block).collect()}
+        assert got == {(650, 900), (900, 901)}
