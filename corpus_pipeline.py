@@ -12,41 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendtrace.llm import convnet, oddsketch, outliers, packing
+from spendtrace.llm.filtering import kept_only
 from spendtrace.llm.staging import stored
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
-    """Rows of ``docs`` whose id has a verdict (doc_id, kept) that keeps it, null ids included.
-
-    Rows that a bitmap of fixed size shows not to be rejected pass without a
-    shuffle of their texts; the others are joined with the rejected ids.
-    """
-    by_id = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    rejected = stored(by_id.where("not coalesce(kept, false)").select("doc_id"), name)
-    maybe = oddsketch.maybe_in(rejected)
-    ids = rejected.withColumnRenamed("doc_id", "rejected_id")
-    doubted = docs.where(maybe)
-    kept = doubted.join(ids, doubted["doc_id"].eqNullSafe(ids["rejected_id"]), "left_anti")
-    return docs.where(~maybe).union(kept)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, outliers.quality_verdicts(docs), "rejected-rules")
+    """Documents that the rules keep: null and empty texts have too few words and go."""
+    return kept_only(docs, outliers.quality_verdicts(docs), "rejected-rules")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more, null and empty texts by the net's constant; without usable labels all stay."""
     # Learned from the whole table: the stages before leave hardly any label 0 to learn from.
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = convnet.train_classifier(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     verdicts = convnet.quality_scores(docs, net).select("doc_id", F.expr("predicted = 1").alias("kept"))
-    return _only(docs, verdicts, "rejected-classifier")
+    return kept_only(docs, verdicts, "rejected-classifier")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, oddsketch.near_duplicates(docs), "rejected-copies")
+    """The smallest id of each group of near copies; null and empty texts link with nothing and stay."""
+    return kept_only(docs, oddsketch.near_duplicates(docs), "rejected-copies")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed pieces of all documents; null and empty texts are the closing id alone."""
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
