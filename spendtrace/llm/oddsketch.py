@@ -15,7 +15,9 @@ Groups need no comparison of all their pairs:
   so far with the bucket's smallest; both give at most a pair per member;
 * last, members of different components are compared within a bucket, by size
   class, in numpy and in blocks of bounded size, whatever the bucket's size; so a
-  pair whose only common band is that of a passage many share is found too.
+  pair whose only common band is that of a passage many share is found too. Each member
+  first gives its ``NEAREST`` nearest partners to be confirmed, and what a round links is one component
+  in the next; rounds go on, each with ``MORE`` times as many, until no partner is left out.
 
 A pair at similarity 0.75 has no common band with probability 5e-6, and a sketch
 estimate below ``FLOOR`` with 1e-8.
@@ -57,6 +59,8 @@ FLOOR = 0.62
 BLOCK_MEMBERS = 16384
 #: Cells up to so many members are compared together, larger ones row block by row block.
 SMALL_CELL = 256
+#: Partners a member gives in the first round, and how many times more in each further one.
+NEAREST, MORE = 2, 16
 _PAIRS = 1 << 17
 _BLOCK = 1024
 #: Bytes of text hashed at once: small, as a worker also holds a batch's sets.
@@ -231,7 +235,7 @@ class _Cells:
         self.sketch = np.stack([table[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)], axis=1).view(np.uint64)
 
     def passed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Pairs (rep, rep), smaller first, of those rows that sizes and sketches do not exclude."""
+        """Those of the pairs of rows that sizes and sketches do not exclude."""
         ok = (self.component[i] != self.component[j]) & (self.home[i] | self.home[j])
         ok &= ~self.two[i] | (self.block[i] != self.block[j])
         i, j = i[ok], j[ok]
@@ -241,7 +245,21 @@ class _Cells:
         for words, most in ((QUARTER, MOST_QUARTER_BITS), (SKETCH_WORDS, MOST_BITS)):
             ok = np.bitwise_count(self.sketch[i, :words] ^ self.sketch[j, :words]).sum(axis=1, dtype=np.int64) <= most
             i, j = i[ok], j[ok]
-        return np.sort(np.stack([self.rep[i], self.rep[j]], axis=1), axis=1)
+        return np.stack([i, j], axis=1)
+
+    def nearest(self, most: int) -> tuple[np.ndarray, bool]:
+        """(pairs (rep, rep), smaller first, among the ``most`` nearest of one of their cell's members; whether pairs are left out)."""
+        pairs = self.pairs()
+        bits = np.bitwise_count(self.sketch[pairs[:, 0]] ^ self.sketch[pairs[:, 1]]).sum(axis=1, dtype=np.int64)
+        # Both ends of each pair, nearest first; of equals that with the smaller id, so that blocks agree.
+        owner, other = np.concatenate([pairs, pairs[:, ::-1]]).T
+        order = np.lexsort((self.rep[other], np.concatenate([bits, bits]), owner))
+        sorted_owner = owner[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_owner[1:] != sorted_owner[:-1]])) if len(order) else order
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        chosen = np.unique(order[place < most] % max(1, len(pairs)))
+        found = np.sort(np.stack([self.rep[pairs[chosen, 0]], self.rep[pairs[chosen, 1]]], axis=1), axis=1)
+        return np.unique(found, axis=0), len(chosen) < len(pairs)
 
     def pairs(self) -> np.ndarray:
         size = len(self.cell)
@@ -260,7 +278,7 @@ class _Cells:
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a > SMALL_CELL:
                 found += self._large(a, b)
-        return np.unique(np.concatenate(found), axis=0)
+        return np.concatenate(found)
 
     def _large(self, a: int, b: int) -> list[np.ndarray]:
         """Pairs of a large cell: blocks of rows against all after them, by the first words of their sketches."""
@@ -277,8 +295,10 @@ class _Cells:
         return found
 
 
-def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket (``key``) that may reach the threshold.
+def _crossing(members: DataFrame, threshold: int, nearest: int, block: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket (``key``) that may reach the threshold: ``nearest`` a member.
+
+    ``rest`` is true in a row of its own (a and b null) where a cell has more.
 
     Sets of sizes out of the threshold's ratio cannot, so a member meets its own size
     class and, as a visitor, the next. A class of more than ``block`` members is divided into
@@ -316,10 +336,11 @@ def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> D
             yield found_in(held)
 
     def found_in(batches):
-        pairs = _Cells(pa.Table.from_batches(batches), threshold).pairs()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs, rest = _Cells(pa.Table.from_batches(batches), threshold).nearest(nearest)
+        ends = [pa.concat_arrays([pa.array(pairs[:, k]), pa.nulls(int(rest), pa.int64())]) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*ends, pa.array([False] * len(pairs) + [True] * rest, pa.bool_())], names=["a", "b", "rest"])
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long, rest boolean")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -361,9 +382,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     again = lows.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = links.union(links_of(again, "links-second"))
 
-    cross = _crossing(members_by(links).select("key", "rep", "component").join(plain, "rep"), threshold)
-    more = stored(confirmed(cross, docs, threshold), "links-cross")
-    joined = connected_components(links.union(more))
+    nearest, tested = NEAREST, None
+    while True:
+        members = members_by(links).select("key", "rep", "component").join(plain, "rep")
+        cross = stored(_crossing(members, threshold, nearest), "crossing")
+        pairs = cross.where("not rest").select("a", "b").distinct()
+        fresh = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "crossing-fresh")
+        links = links.union(stored(confirmed(fresh, docs, threshold), "links-cross"))
+        if not cross.where("rest").limit(1).count():
+            break
+        tested = fresh if tested is None else tested.union(fresh)
+        nearest *= MORE
+    joined = connected_components(links)
     classes = reps.select("digest", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")

@@ -127,5 +127,24 @@ def test_pair_whose_only_common_band_is_hot(spark):
     schema = ", ".join(f"{c} long" for c in columns)
     df = spark.createDataFrame(flat, schema).repartition(3)
     for block in (None, 90):
-        got = {(r.a, r.b) for r in oddsketch._crossing(df, 75, block).collect()}
-        assert got == {(650, 900), (900, 901)}
+        got = oddsketch._crossing(df, 75, 5, block).collect()
+        assert {(r.a, r.b) for r in got} == {(650, 900), (900, 901)} and not any(r.rest for r in got)
+        # With one partner a member: 900 has two at the same distance, each of which has 900 alone.
+        assert {(r.a, r.b) for r in oddsketch._crossing(df, 75, 1, block).collect() if not r.rest} == {(650, 900), (900, 901)}
+
+
+def test_copies_without_a_near_leader(spark, monkeypatch):
+    """Copies far from each other and near one base with the largest id: few pairs a round, rounds until nothing is left out."""
+    monkeypatch.setattr(oddsketch, "NEAREST", 1)
+    monkeypatch.setattr(oddsketch, "MORE", 2)
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+    rows = []
+    for i in range(50):
+        copy = list(base)
+        for k in rng.sample(range(40), 4):
+            copy[k * 5] = f"u{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    rows.append((99, " ".join(base)))
+    got = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    check(spark, rows, got)
