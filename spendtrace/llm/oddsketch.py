@@ -13,9 +13,13 @@ Groups need no comparison of all their pairs:
 * first each representative is compared with the smallest one that any of its
   buckets has, then, within each bucket, the smallest of each component formed
   so far with the bucket's smallest; both give at most a pair per member;
-* last, members of different components are compared within a bucket, by size
-  class, in numpy and in blocks of bounded size, whatever the bucket's size; so a
-  pair whose only common band is that of a passage many share is found too.
+* last, all members of buckets that hold several components are met by their
+  rarest shingles: sets that reach the threshold share one among the first of
+  both in order of frequency (prefix filtering, exact). Members of different
+  components that share such a shingle are compared, by size class, in numpy and
+  in blocks of bounded size; so a pair whose only common band is that of a
+  passage many share is found too, while variants of one template, each with
+  changes of its own, hardly meet.
 
 A pair at similarity 0.75 has no common band with probability 5e-6, and a sketch
 estimate below ``FLOOR`` with 1e-8.
@@ -182,13 +186,8 @@ def _ids(column: str) -> Column:
     return F.xxhash64(column)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold (in hundredths).
-
-    Only the texts of documents in some pair are read into sets. A document in
-    many pairs sends its set once per pair, which is no more than its partners'
-    own sets, as sizes differ by a third at most.
-    """
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents whose doc_id is in ``ids``; only their texts are read into sets."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def full_set(texts: pa.Array) -> pa.Array:
@@ -197,10 +196,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
         flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, dtype=np.int64)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
+    maybe = maybe_member(ids.select(_ids("doc_id").alias("id")), _ids("doc_id"))
+    needed = docs.select("doc_id", "text").where(maybe).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(needed.select("doc_id", full_set("text").alias("shingles")), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, sets: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the threshold (in hundredths).
+
+    ``sets`` holds the sets of all documents in the pairs; where it is not given, they are made. A document in
+    many pairs sends its set once per pair, which is no more than its partners'
+    own sets, as sizes differ by a third at most.
+    """
     pairs = stored(pairs.select("a", "b").distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = docs.select("doc_id", "text").where(maybe_member(ids.select(_ids("doc_id").alias("id")), _ids("doc_id"))).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(needed.select("doc_id", full_set("text").alias("shingles")), "sets")
+    if sets is None:
+        sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
@@ -208,6 +218,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * common >= threshold * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
+def rare_shingles(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Shingles (``key``) that a member (rep, component) must share with any partner of another component.
+
+    A pair's sets share at least threshold * n of the larger one's n shingles, and
+    2 * threshold / (100 + threshold) * n of the smaller one's. So in any one order of
+    shingles, here by the members that have them, the first n - that number + 1 of
+    each have one in common; ``leads`` tells which of them are among the fewer ones
+    that count when the set is the smaller. A member's shingles that no other has
+    come first and are not returned, nor those of a single component.
+    """
+    n = F.col("n_shingles")
+    rows = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.select("rep", "component", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("key"))
+    seen = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), (F.min("component") != F.max("component")).alias("mixed"))
+    # Written, so that the join can be split where many members share a shingle.
+    rows = rows.join(stored(seen.where("members > 1"), "shared-shingles"), "key")
+    order = F.array_sort(F.collect_list(F.struct("members", "key", "mixed"))).alias("shared")
+    own = rows.groupBy("rep").agg(F.first("component").alias("component"), F.first("n_shingles").alias("n_shingles"), order)
+    own = own.withColumn("alone", n - F.size("shared"))
+    first = n - F.ceil(threshold * n / 100) + 1
+    first_of_smaller = n - F.ceil(2 * threshold * n / (100 + threshold)) + 1
+    own = own.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0)).cast("int")))
+    placed = own.select("rep", "component", n, first_of_smaller.alias("leading"), "alone", F.posexplode("shared").alias("place", "at"))
+    return placed.where("at.mixed").select(
+        F.col("at.key").alias("key"), "rep", "component", (F.col("alone") + F.col("place") < F.col("leading")).alias("leads")
+    )
+
+
 def _side(members: DataFrame, side: str) -> DataFrame:
     """Members as one side of pairs: columns get the side's suffix, ``rep`` becomes the side itself."""
     return members.select(
@@ -222,8 +260,8 @@ class _Cells:
 
     def __init__(self, table: pa.Table, threshold: int):
         self.threshold = threshold
-        names = ("cell", "rep", "component", "n_shingles", "home", "block", "two")
-        self.cell, self.rep, self.component, self.n, self.home, self.block, self.two = (
+        names = ("cell", "rep", "component", "n_shingles", "leads", "home", "block", "two")
+        self.cell, self.rep, self.component, self.n, self.leads, self.home, self.block, self.two = (
             table[c].to_numpy(zero_copy_only=False) for c in names
         )
         self.sketch = np.stack([table[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)], axis=1).view(np.uint64)
@@ -234,7 +272,8 @@ class _Cells:
         ok &= ~self.two[i] | (self.block[i] != self.block[j])
         i, j = i[ok], j[ok]
         n, other = self.n[i], self.n[j]
-        ok = 100 * np.minimum(n, other) >= self.threshold * np.maximum(n, other)
+        ok = (self.leads[i] & (n <= other)) | (self.leads[j] & (other <= n))
+        ok &= 100 * np.minimum(n, other) >= self.threshold * np.maximum(n, other)
         i, j = i[ok], j[ok]
         for words, most in ((QUARTER, MOST_QUARTER_BITS), (SKETCH_WORDS, MOST_BITS)):
             ok = np.bitwise_count(self.sketch[i, :words] ^ self.sketch[j, :words]).sum(axis=1, dtype=np.int64) <= most
@@ -278,12 +317,14 @@ class _Cells:
 def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> DataFrame:
     """Pairs (a, b) of different components in a bucket (``key``) that may reach the threshold.
 
-    Sets of sizes out of the threshold's ratio cannot, so a member meets its own size
+    With a column ``leads``, the smaller set of a pair (one of two equally large) must have it true. Sets of sizes out of the threshold's ratio cannot, so a member meets its own size
     class and, as a visitor, the next. A class of more than ``block`` members is divided into
     blocks, each pair of which is a cell, so no task holds a bucket.
     """
     base = max(100 / threshold, 1.01) * (1 + 1e-9)
     size_class = F.floor(F.ln("n_shingles") / float(np.log(base))).cast("int")
+    if "leads" not in members.columns:
+        members = members.withColumn("leads", F.lit(True))
     classed = members.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
     classed = stored(classed.withColumn("class", size_class + F.when(F.col("home"), 0).otherwise(1)), "cells")
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes"))
@@ -295,7 +336,7 @@ def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> D
     low, high = F.least("block", "other"), F.greatest("block", "other")
     sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
     cell = F.xxhash64("key", "class", low, high).alias("cell")
-    dealt = dealt.select(cell, "rep", "component", "n_shingles", "home", "block", (low != high).alias("two"), *sketch)
+    dealt = dealt.select(cell, "rep", "component", "n_shingles", "leads", "home", "block", (low != high).alias("two"), *sketch)
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -359,8 +400,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     again = lows.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = links.union(links_of(again, "links-second"))
 
-    cross = _crossing(members_by(links).select("key", "rep", "component").join(plain, "rep"), threshold)
-    more = stored(confirmed(cross, docs, threshold), "links-cross")
+    members = stored(members_by(links).select("rep", "component").distinct(), "open-members")
+    sets = full_sets(docs, members.select(F.col("rep").alias("doc_id")))
+    cross = _crossing(rare_shingles(members, sets, threshold).join(plain, "rep"), threshold)
+    more = stored(confirmed(cross, docs, threshold, sets), "links-cross")
     joined = connected_components(links.union(more))
     classes = reps.select("digest", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))

@@ -129,3 +129,28 @@ def test_pair_whose_only_common_band_is_hot(spark):
     for block in (None, 90):
         got = {(r.a, r.b) for r in oddsketch._crossing(df, 75, block).collect()}
         assert got == {(650, 900), (900, 901)}
+
+
+def test_rare_shingles_meet_every_pair_at_the_threshold(spark):
+    rng, sets = random.Random(23), []
+    while len(sets) < 160:
+        base = rng.sample(range(4000), rng.randrange(1, 60))
+        for _ in range(4):
+            keep = [x for x in base if rng.random() < rng.choice((0.8, 0.93, 1))] or base
+            sets.append(sorted(set(keep + rng.sample(range(4000), rng.randrange(0, 4)))))
+    members = spark.createDataFrame([(i, i) for i in range(len(sets))], "rep long, component long")
+    rows = oddsketch.rare_shingles(members, spark.createDataFrame(list(enumerate(sets)), "doc_id long, shingles array<long>"), 75).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.rep, {})[r.key] = r.leads
+    links = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = set(sets[a]), set(sets[b])
+            if 100 * len(x & y) < 75 * len(x | y):
+                continue
+            links += 1
+            small, large = (a, b) if len(x) <= len(y) else (b, a)
+            assert any(leads and key in held.get(large, {}) for key, leads in held.get(small, {}).items())
+    assert links > 50
+    assert len(rows) < sum(map(len, sets)) / 2
