@@ -17,7 +17,7 @@ one does. Null language and source count as ''. Groups of fewer than
 ``min_rows`` rows are judged by the estimate of all rows of their language, large
 sources included; where that has too few rows, by the estimate of all rows. Only a table
 with fewer rows than that has no estimate, and nothing more is rejected. Repeated rows and ties count
-as often as they occur. Columns other than those named are ignored.
+as often as they occur. Every row is judged by its own counts: rows that share an id, or have none, are judged apart. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def chi2_quantile(p: float, dof: int) -> float:
 
 
 MOMENTS = ["n"] + [f"s{i}" for i in range(DIM)] + [f"s{i}_{j}" for i in range(DIM) for j in range(i, DIM)]
-ESTIMATE = "g string, centre array<double>, precision array<double>, logdet double, rows long"
+ESTIMATE = "g string, centre array<double>, precision array<double>"
 
 
 def _moments() -> list[F.Column]:
@@ -166,8 +166,6 @@ def concentrate(bins: pd.DataFrame, support: float) -> pd.DataFrame:
             "g": [bins["g"].iloc[0]],
             "centre": [centre.tolist()],
             "precision": [np.linalg.inv(scatter).ravel().tolist()],
-            "logdet": [float(np.linalg.slogdet(scatter)[1])],
-            "rows": [int(n.sum())],
         }
     )
 
@@ -181,27 +179,25 @@ def mahalanobis2() -> F.Column:
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
-def grouped_vectors(stats: DataFrame, min_rows: int) -> DataFrame:
-    """Vectors of the rows that pass the base rules.
+def with_vectors(stats: DataFrame) -> DataFrame:
+    """x0.. added to the rows that pass the base rules; null language and source count as ''."""
+    rows = stats.where(~base_failed()).withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
+    return rows.withColumns({f"x{i}": x for i, x in enumerate(transformed())})
 
-    Each has the group ``g`` that judges it (null: too few rows in all) and
-    ``gs``, the groups whose estimates it is part of.
-    """
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    rows = stats.where(~base_failed()).select(
-        "doc_id", lang.alias("lang"), source.alias("source"), *[x.alias(f"x{i}") for i, x in enumerate(transformed())]
-    )
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("small", F.col("n") < min_rows)
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.bool_or("small").alias("asks_lang"))
-    totals = by_lang.agg(F.sum("of_lang").alias("of_all"), F.bool_or(F.col("of_lang") < min_rows).alias("asks_all"))
+
+def judging_groups(vectors: DataFrame, min_rows: int) -> DataFrame:
+    """(lang, source, g, gs): the group that judges their rows (null: too few rows in all) and those whose estimates they are part of."""
+    sizes = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(sizes.withColumn("small", F.col("n") < min_rows), "group-sizes")
+    by_lang = stored(sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.bool_or("small").alias("asks_lang")), "language-sizes")
+    of_all = by_lang.agg(F.sum("of_lang")).scalar()
+    asks_all = by_lang.agg(F.bool_or(F.col("of_lang") < min_rows)).scalar()
     own = F.when(~F.col("small"), F.concat(F.lit("s\t"), "lang", F.lit("\t"), "source"))
     of_lang = F.when(F.col("asks_lang") & (F.col("of_lang") >= min_rows), F.concat(F.lit("l\t"), "lang"))
-    of_all = F.when(F.col("asks_all") & (F.col("of_all") >= min_rows), F.lit("a"))
-    named = sizes.join(by_lang, "lang").crossJoin(totals).select(
-        "lang", "source", F.coalesce(own, of_lang, of_all).alias("g"), F.array_compact(F.array(own, of_lang, of_all)).alias("gs")
+    of_any = F.when(asks_all & (of_all >= min_rows), F.lit("a"))
+    return sizes.join(by_lang, "lang").select(
+        "lang", "source", F.coalesce(own, of_lang, of_any).alias("g"), F.array_compact(F.array(own, of_lang, of_any)).alias("gs")
     )
-    return rows.join(named, ["lang", "source"]).drop("lang", "source")
 
 
 def mcd_estimates(vectors: DataFrame, support: float, steps: int) -> DataFrame:
@@ -212,14 +208,12 @@ def mcd_estimates(vectors: DataFrame, support: float, steps: int) -> DataFrame:
     """
     vectors = vectors.where("g is not null")
     quantiles = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q{i}") for i in range(DIM)]
-    start = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), *quantiles)
+    start = vectors.groupBy("g").agg(*quantiles)
     spread = [F.lit(1.0) / (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + F.lit(FLOORS[i])) for i in range(DIM)]
     estimates = start.select(
         "g",
         F.array(*[F.col(f"q{i}")[1] for i in range(DIM)]).alias("centre"),
         F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]).alias("precision"),
-        F.lit(0.0).alias("logdet"),
-        "rows",
     )
     estimates = stored(estimates, "mcd-start")
     distance_bin = F.floor(F.log2(mahalanobis2() + F.lit(2.0**-20)) * BINS_PER_OCTAVE)
@@ -243,23 +237,20 @@ def quality_verdicts(
     """doc_id, the counts, base_failed, distance2 (squared Mahalanobis; null without estimate) and kept, per row."""
     stats = document_statistics(docs.select("doc_id", "text", "lang", "source"))
     stats = stored(stats.select("doc_id", "lang", "source", *[F.col("stats")[c].alias(c) for c in COUNTS]), "stats")
-    vectors = stored(grouped_vectors(stats, min_rows), "vectors")
-    parts = vectors.select(F.explode("gs").alias("g"), *[f"x{i}" for i in range(DIM)])
-    estimates = mcd_estimates(parts, support, steps)
-    judged = vectors.join(estimates, "g", "left").select("doc_id", mahalanobis2().alias("distance2"))
-    passed = judged.select("doc_id", "distance2", F.lit(False).alias("base_failed"))
-    return _with_counts(stats, passed, cutoff)
-
-
-def _with_counts(stats: DataFrame, passed: DataFrame, cutoff: float) -> DataFrame:
-    # Repeated ids: rows are told apart by id, so one distance per id suffices (equal rows have equal ones).
-    passed = passed.groupBy("doc_id").agg(F.max("distance2").alias("distance2")).withColumnRenamed("doc_id", "p_id")
-    joined = stats.join(passed, stats.doc_id.eqNullSafe(passed.p_id), "left").drop("p_id")
-    failed = base_failed()
-    return joined.select(
+    vectors = with_vectors(stats)
+    groups = stored(judging_groups(vectors, min_rows), "judging-groups")
+    named = vectors.join(groups, ["lang", "source"])
+    xs = [f"x{i}" for i in range(DIM)]
+    estimates = mcd_estimates(stored(named.select(F.explode("gs").alias("g"), *xs), "vectors"), support, steps)
+    # Each row meets the estimate by its own group: ids play no part, so rows that share one have verdicts of their own.
+    passed = named.join(estimates, "g", "left").select(
         "doc_id",
         *COUNTS,
-        failed.alias("base_failed"),
-        F.when(~failed, F.col("distance2")).alias("distance2"),
-        (~failed & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"),
+        F.lit(False).alias("base_failed"),
+        mahalanobis2().alias("distance2"),
+        (F.coalesce(mahalanobis2(), F.lit(0.0)) <= cutoff).alias("kept"),
+    )
+    failed = stats.where(base_failed()).select(
+        "doc_id", *COUNTS, F.lit(True).alias("base_failed"), F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept")
     )
+    return passed.union(failed)

@@ -101,3 +101,20 @@ def test_small_groups_are_judged_by_their_language_or_by_all_rows(spark):
     got = outliers.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert all(r.distance2 is not None for r in got)
     assert {r.doc_id for r in got if not r.kept} == {300, 301}
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(300)]
+
+    def prose():
+        return " ".join(rng.choice(vocabulary, 120))
+
+    bad = "$$$ %%% " * 60
+    rows = [(i, prose(), "en", "web") for i in range(80)]
+    rows += [(7, bad + prose(), "en", "web"), (None, prose(), "en", "web"), (None, bad + prose(), "en", "web"), (7, "too short", "en", "web")]
+    got = outliers.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.base_failed, r.kept) for r in got if r.doc_id == 7) == [(False, False), (False, True), (True, False)]
+    assert sorted(r.kept for r in got if r.doc_id is None) == [False, True]
+    assert all(r.kept for r in got if r.doc_id not in (7, None))
