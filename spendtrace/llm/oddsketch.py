@@ -241,8 +241,9 @@ def rare_shingles(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     first_of_smaller = n - F.ceil(2 * threshold * n / (100 + threshold)) + 1
     own = own.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(first - F.col("alone"), F.lit(0)).cast("int")))
     placed = own.select("rep", "component", n, first_of_smaller.alias("leading"), "alone", F.posexplode("shared").alias("place", "at"))
+    place = F.col("alone") + F.col("place")
     return placed.where("at.mixed").select(
-        F.col("at.key").alias("key"), "rep", "component", (F.col("alone") + F.col("place") < F.col("leading")).alias("leads")
+        F.col("at.key").alias("key"), "rep", "component", (place < F.col("leading")).alias("leads"), place.alias("place")
     )
 
 
@@ -260,8 +261,8 @@ class _Cells:
 
     def __init__(self, table: pa.Table, threshold: int):
         self.threshold = threshold
-        names = ("cell", "rep", "component", "n_shingles", "leads", "home", "block", "two")
-        self.cell, self.rep, self.component, self.n, self.leads, self.home, self.block, self.two = (
+        names = ("cell", "rep", "component", "n_shingles", "leads", "place", "home", "block", "two")
+        self.cell, self.rep, self.component, self.n, self.leads, self.place, self.home, self.block, self.two = (
             table[c].to_numpy(zero_copy_only=False) for c in names
         )
         self.sketch = np.stack([table[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)], axis=1).view(np.uint64)
@@ -273,7 +274,9 @@ class _Cells:
         i, j = i[ok], j[ok]
         n, other = self.n[i], self.n[j]
         ok = (self.leads[i] & (n <= other)) | (self.leads[j] & (other <= n))
-        ok &= 100 * np.minimum(n, other) >= self.threshold * np.maximum(n, other)
+        # Where this is their first common shingle, no more than what follows it can be common.
+        most = np.minimum(n - self.place[i], other - self.place[j])
+        ok &= (100 + self.threshold) * most >= self.threshold * (n + other)
         i, j = i[ok], j[ok]
         for words, most in ((QUARTER, MOST_QUARTER_BITS), (SKETCH_WORDS, MOST_BITS)):
             ok = np.bitwise_count(self.sketch[i, :words] ^ self.sketch[j, :words]).sum(axis=1, dtype=np.int64) <= most
@@ -317,7 +320,8 @@ class _Cells:
 def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> DataFrame:
     """Pairs (a, b) of different components in a bucket (``key``) that may reach the threshold.
 
-    With a column ``leads``, the smaller set of a pair (one of two equally large) must have it true. Sets of sizes out of the threshold's ratio cannot, so a member meets its own size
+    With a column ``leads``, the smaller set of a pair (one of two equally large) must have it true;
+    with ``place``, the key's place among the set's shingles in the common order, only what follows can be common. Sets of sizes out of the threshold's ratio cannot, so a member meets its own size
     class and, as a visitor, the next. A class of more than ``block`` members is divided into
     blocks, each pair of which is a cell, so no task holds a bucket.
     """
@@ -325,6 +329,8 @@ def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> D
     size_class = F.floor(F.ln("n_shingles") / float(np.log(base))).cast("int")
     if "leads" not in members.columns:
         members = members.withColumn("leads", F.lit(True))
+    if "place" not in members.columns:
+        members = members.withColumn("place", F.lit(0))
     classed = members.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
     classed = stored(classed.withColumn("class", size_class + F.when(F.col("home"), 0).otherwise(1)), "cells")
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes"))
@@ -336,7 +342,7 @@ def _crossing(members: DataFrame, threshold: int, block: int | None = None) -> D
     low, high = F.least("block", "other"), F.greatest("block", "other")
     sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
     cell = F.xxhash64("key", "class", low, high).alias("cell")
-    dealt = dealt.select(cell, "rep", "component", "n_shingles", "leads", "home", "block", (low != high).alias("two"), *sketch)
+    dealt = dealt.select(cell, "rep", "component", "n_shingles", "leads", "place", "home", "block", (low != high).alias("two"), *sketch)
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
