@@ -343,6 +343,7 @@ WHERE start_time >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
   AND (query_tag = 'ai-agent' OR query_text ILIKE '%from t_1_ %' OR query_text ILIKE '%c_7 %')""",
 )
 oracle("attribute_requests", "SELECT * FROM pairs")
+oracle("attribute_requests_one_plan", "SELECT * FROM pairs")
 oracle("attribute_requests_prefix_100", "SELECT * FROM pairs", style="commented")
 oracle("attribute_requests_prefix_50", "SELECT * FROM pairs", style="reworded")
 oracle("attribute_requests_two_tiers", "SELECT * FROM pairs2", style="commented")

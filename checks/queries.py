@@ -61,6 +61,13 @@ def history(t: UsageTables) -> DataFrame:
 
 
 def matched(t: UsageTables) -> A.Matched:
+    """Requests matched by the cascade, whose tier is probed first."""
+    sides = history(t), logs(t)
+    return A.match_requests(*sides, known_tier=A.matching_tier(*sides))
+
+
+def one_plan(t: UsageTables) -> A.Matched:
+    """The same match with the choice of tier as a subquery of its plan."""
     return A.match_requests(history(t), logs(t))
 
 
@@ -160,6 +167,7 @@ query("query_history_cost_left")(
     )
 )
 query("attribute_requests")(lambda t: matched(t).pairs())
+query("attribute_requests_one_plan")(lambda t: one_plan(t).pairs())
 query("attribute_requests_prefix_100")(lambda t: matched(t).pairs(), style="commented")
 query("attribute_requests_prefix_50")(lambda t: matched(t).pairs(), style="reworded")
 query("attribute_requests_two_tiers")(

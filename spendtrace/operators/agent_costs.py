@@ -18,9 +18,13 @@ def price_tokens(events: DataFrame, rates: str | DataFrame = "SI") -> DataFrame:
     """Credits per token kind and in total; unknown models and NULL tokens cost 0.
 
     ``rates`` names a built-in card or is a frame shaped like one. The built-in
-    card has a known tiny size; a frame is joined by whatever its size allows.
+    card has a known tiny size; a frame is joined by whatever its size allows, and a
+    model that it lists more than once counts once, at its highest rate of each kind.
     """
-    card = rate_card(events.sparkSession, rates) if isinstance(rates, str) else rates
+    if isinstance(rates, str):
+        card = rate_card(events.sparkSession, rates)
+    else:
+        card = rates.groupBy("model_name").agg(*[F.max(f"{kind}_rate").alias(f"{kind}_rate") for kind in KINDS])
     zero, per_token = F.lit(Decimal(0)), F.lit(Decimal("0.000001"))
 
     def cost(kind: str) -> Column:

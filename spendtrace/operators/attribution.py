@@ -159,10 +159,23 @@ def matching_tier(
     tiers: Sequence[int | None] = CASCADE,
     repairs: Sequence[tuple[str, str]] = (),
 ) -> int:
-    """The tier that :func:`match_requests` would choose (0 for none), for jobs that match the same sides often."""
+    """The tier that :func:`match_requests` would choose (0 for none), found tier by tier.
+
+    Each probe computes one digest per row, in binary form, and stops at the first text
+    that both sides have; a later tier is probed only if the earlier ones share nothing.
+    A text's earlier key determines its later ones, so the sides of a probe are
+    reduced to distinct keys before they meet and a hot text is one row.
+    """
     h = _usable(history, "cleaned_query_text", tiers, repairs)
     l = _usable(logs, "generated_sql", tiers, repairs)
-    return _first_matching_tier(h, l, tiers).first()["tier"] or 0
+    for tier in range(1, len(tiers) + 1):
+        # A key that cannot be NULL spares the join a NULL test, which would compute the digest again.
+        own = F.unhex(F.get("match_keys", F.lit(tier - 1)))
+        keys = [df.select(F.coalesce(own, F.lit(side)).alias("key")).distinct() for df, side in ((h, b"h"), (l, b"l"))]
+        shared = keys[0].join(keys[1], "key", "left_semi")
+        if not shared.isEmpty():
+            return tier
+    return 0
 
 
 def match_requests(
@@ -221,10 +234,11 @@ def attribute_requests(
     tiers: Sequence[int | None] = CASCADE,
     repairs: Sequence[tuple[str, str]] = (),
     normalize: bool = True,
+    known_tier: int | None = None,
 ) -> DataFrame:
-    """Row-level match with total time and combined credits per pair."""
+    """Row-level match with total time and combined credits per pair (``known_tier`` as in :func:`match_requests`)."""
     if normalize:
-        return match_requests(history, logs, tiers, repairs).pairs()
+        return match_requests(history, logs, tiers, repairs, known_tier).pairs()
     return match_exact(history, logs).pairs()
 
 

@@ -109,6 +109,23 @@ def test_pairs_are_the_plain_join(spark):
     assert got == want and len(got) > 500
 
 
+def test_tiers_are_probed_in_order_until_one_matches(spark, monkeypatch):
+    h, l = skewed(spark)
+    probed = []
+    is_empty = type(h).isEmpty
+    monkeypatch.setattr(type(h), "isEmpty", lambda df: probed.append(df) or is_empty(df))
+    assert A.matching_tier(h, l) == 1 and len(probed) == 1
+    # One digest per side and probe: the tier's own.
+    assert probed[0]._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 2
+    saved = A.with_match_keys(h, "cleaned_query_text"), A.with_match_keys(l, "generated_sql")
+    assert A.matching_tier(*saved) == 1
+    probed.clear()
+    assert A.matching_tier(h.limit(0), l) == 0 and len(probed) == 3
+    only_prefix = logs(spark, [{"generated_sql": LONG[:50] + "x" * 80}])
+    probed.clear()
+    assert A.matching_tier(history(spark, [{"cleaned_query_text": LONG}]), only_prefix) == 3 and len(probed) == 3
+
+
 def test_later_tier_only_if_earlier_is_empty(spark):
     h = history(spark, [{"cleaned_query_text": LONG.format("on", "x")}, {"cleaned_query_text": "select 1"}])
     prefix = {"generated_sql": LONG.format("on", "y")}

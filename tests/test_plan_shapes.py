@@ -81,3 +81,8 @@ def test_source_is_scanned_once(stored, name):
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_a_known_tier_costs_three_scans_and_one_digest_a_side(stored):
+    text = plan(BUILDERS["attribute_requests"][0](stored))
+    assert text.count("FileScan") == 3 and text.count("sha2(") == 2

@@ -131,6 +131,8 @@ def test_token_prices(spark):
         ("nobody", 2.0, 0.0, 0.0, 0.0),
     )
     assert sorted(float(v[0]) for v in values(G.price_tokens(events, custom), "token_credits")) == [0.0, 0.0, 0.0, 2.0]
+    # A model listed twice is charged once, at its highest rates.
+    assert sorted(float(v[0]) for v in values(G.price_tokens(events, custom.union(custom)), "token_credits")) == [0.0, 0.0, 0.0, 2.0]
     with pytest.raises(ValueError):
         G.price_tokens(events, "other")
 
