@@ -934,3 +934,8 @@ def _reached(rule: tuple) -> str:
 
 
 oracle("budget_stream_alerts", " UNION ALL ".join(_reached(r) for r in EXAMPLE_RULES))
+
+# Reports over the stored day totals give what the usage rows themselves give.
+for _name in ("functions_budget", "custom_budget_alert", "budget_tiers", "daily_spend", "top_spend_days"):
+    ORACLE[f"day_rollup_{_name}"] = ORACLE[_name]
+ORACLE["day_rollup_budget_alert"] = ORACLE["budget_alert_month"]

@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.bindings import AS_OF
+from checks.bindings import AS_OF, AS_OF_ORDERS
+from spendtrace.functions import exprs as X
+from spendtrace.operators import budgets as H
+from spendtrace.operators import usage as U
 from spendtrace.operators.budgets import budget_rules
 from spendtrace.operators.usage import service_usage
 from spendtrace.session import shared_dir
+from spendtrace.sources import day_rollup as R
 from spendtrace.sources import sinks
 from spendtrace.sources.extract import extract_request_log
 from spendtrace.sources.tables import UsageTables
@@ -88,10 +92,44 @@ def stream_alert_periods(t: UsageTables) -> DataFrame:
     return stream_alerts(t.spark, f"{place}/alerts").select("rule", "period", "period_start", "limit", reached)
 
 
+def day_totals(t: UsageTables) -> DataFrame:
+    """H1 to H4, E19, E20: a rollup built before a quarter of the hours had come, then refreshed by what came late."""
+    late = F.pmod(F.xxhash64(F.date_trunc("HOUR", "start_time")), F.lit(4)) == 0
+    relations = ["metering", *[relation for relation, *_ in U.SERVICES.values()]]
+    place = folder(t.spark, "days")
+    early = UsageTables(t.spark, frames={r: t.get(r).where(~late) for r in relations})
+    R.build_days(early, place)
+    R.refresh_days(t, place, R.billed_rows(t).where(late).select(X.day("start_time").alias("day")))
+    return R.read_days(t.spark, place)
+
+
+_DAYS: dict[tuple, DataFrame] = {}
+
+
+def over_days(report):
+    """A report whose usage relations are the rollup's day totals; all such reports of a session share one rollup."""
+
+    def run(t: UsageTables) -> DataFrame:
+        place = (t.spark.sparkContext.applicationId, t.sf_dir)
+        if place not in _DAYS:
+            _DAYS[place] = day_totals(t)
+        return report(R.usage_by_day(_DAYS[place]))
+
+    return run
+
+
 STORED = {
     "append_logs_result": appended_log,
     "load_logs_result": loaded_log,
     "build_query_history_result": built_history,
     "log_ingest_result": ingested_log,
     "budget_stream_alerts": stream_alert_periods,
+    "day_rollup_budget_alert": over_days(lambda d: H.budget_alert(d, "MONTH", 10, AS_OF)),
+    "day_rollup_functions_budget": over_days(lambda d: H.functions_budget(d.function_usage, "MONTH", 1000, AS_OF)),
+    "day_rollup_custom_budget_alert": over_days(
+        lambda d: H.custom_budget_alert(d.metering, "MONTH", 1000, "Acme Corporation", AS_OF_ORDERS)
+    ),
+    "day_rollup_budget_tiers": over_days(lambda d: H.budget_tiers(d, budget_rules(d.spark), AS_OF)),
+    "day_rollup_daily_spend": over_days(lambda d: U.daily_spend(d.metering, AS_OF_ORDERS)),
+    "day_rollup_top_spend_days": over_days(lambda d: U.top_spend_days(d.metering, AS_OF_ORDERS, events="events")),
 }

@@ -254,9 +254,13 @@ def daily_spend(
 
 
 def top_spend_days(
-    metering: DataFrame, as_of: X.Moment, n: int = 10, service: str = AI_SERVICE_TYPE
+    metering: DataFrame,
+    as_of: X.Moment,
+    n: int = 10,
+    service: str = AI_SERVICE_TYPE,
+    events: str | None = None,
 ) -> DataFrame:
-    """Days of this month with the highest credits."""
+    """Days of this month with the highest credits. ``events`` names how many events a row stands for, if not one."""
     return (
         metering.filter(
             (F.col("start_time") >= X.period_start("MONTH", as_of).cast("timestamp_ntz"))
@@ -266,7 +270,7 @@ def top_spend_days(
         .groupBy(X.day("start_time").alias("usage_date"))
         .agg(
             X.dbl(X.sum_credits("credits_used")).alias("total_credits"),
-            F.count("*").alias("usage_events"),
+            (F.sum(events) if events else F.count("*")).alias("usage_events"),
         )
         .orderBy(F.desc_nulls_last("total_credits"), "usage_date")
         .limit(n)
