@@ -21,7 +21,7 @@ from spendtrace.sources.tables import UsageTables
 from spendtrace.streaming.batch_ingest import BATCH, ingest_batches
 from spendtrace.streaming.budget_stream import budget_stream, stream_alerts
 
-FILES = 3
+BATCHES = 3
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -32,10 +32,12 @@ def table_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
-def streamed(df: DataFrame, path: str, files: int = FILES) -> DataFrame:
-    """The rows as a stream of ``files`` micro-batches, from files written to ``path``."""
-    df.repartition(files).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def streamed(df: DataFrame, path: str, batches: int = BATCHES) -> DataFrame:
+    """The rows as a stream of ``batches`` micro-batches, from files written to ``path``: one a core and micro-batch."""
+    spark = df.sparkSession
+    df.repartition(batches * spark.sparkContext.defaultParallelism).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())  # few rows make fewer
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 def finished(query) -> None:

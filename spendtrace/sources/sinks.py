@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendtrace.functions import exprs as X
@@ -40,12 +40,13 @@ def ensure_log_table(spark: SparkSession, table: str) -> None:
     )
 
 
+def _log_date() -> Column:
+    return F.coalesce(X.day("timestamp"), F.lit(_NO_DATE).cast("date")).alias(LOG_DATE)
+
+
 def dated(logs: DataFrame) -> DataFrame:
     """The table's columns; a request without timestamp goes to 1970-01-01."""
-    return logs.select(
-        *[F.col(f.name).cast(f.dataType) for f in REQUEST_LOG],
-        F.coalesce(X.day("timestamp"), F.lit(_NO_DATE).cast("date")).alias(LOG_DATE),
-    )
+    return logs.select(*[F.col(f.name).cast(f.dataType) for f in REQUEST_LOG], _log_date())
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: str = "request_id") -> DataFrame:
@@ -55,27 +56,51 @@ def new_rows(rows: DataFrame, stored: DataFrame, key: str = "request_id") -> Dat
     is another row, however the rows were batched. The first and last day of
     ``rows`` (one row, from the time column alone) are literals of the stored
     table's scan, so it reads only the partitions between them, and that of
-    requests without time.
+    requests without time. One shuffle serves both tests; rows without key are
+    spread by a number of their own. The stored keys grow with the table and are never broadcast.
     """
     undated = F.col(LOG_DATE) == F.lit(_NO_DATE).cast("date")
     span = rows.filter(~undated).agg(F.min(LOG_DATE).alias("first"), F.max(LOG_DATE).alias("last")).first()
     reached = undated if span["first"] is None else undated | F.col(LOG_DATE).between(span["first"], span["last"])
-    unkeyed = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    rows = rows.withColumn("_unkeyed", unkeyed).dropDuplicates([key, LOG_DATE, "_unkeyed"]).drop("_unkeyed")
-    known = stored.filter(reached).select(key, LOG_DATE)
-    return rows.join(known, [key, LOG_DATE], "left_anti").select(rows.columns)
+    spread = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(key))
+    same = [key, LOG_DATE, "_spread"]
+    firsts = rows.withColumn("_spread", spread).dropDuplicates(same)
+    known = stored.filter(reached).select(key, LOG_DATE, F.xxhash64(key).alias("_spread"))
+    return firsts.join(known.hint("merge"), same, "left_anti").select(rows.columns)
 
 
-def append_logs(logs: DataFrame, table: str, dedupe_on: str | None = "request_id") -> None:
+def new_logs(
+    requests: DataFrame, stored: DataFrame, key: str = "request_id", extract: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The table's rows of the requests that :func:`new_rows` finds new.
+
+    Raw requests come with ``extract``: only new ones are parsed, by all tasks of the shuffle by key,
+    however few files (and so tasks) brought them.
+    """
+    if extract is None:
+        return new_rows(dated(requests), stored, key)
+    rows = requests.withColumns({key: F.col(key).cast(REQUEST_LOG[key].dataType), LOG_DATE: _log_date()})
+    return dated(extract(new_rows(rows, stored, key)))
+
+
+def append_logs(
+    logs: DataFrame,
+    table: str,
+    dedupe_on: str | None = "request_id",
+    extract: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Append requests that name a semantic model.
 
     With ``dedupe_on`` a second run adds nothing; ``None`` appends everything again.
+    Raw requests come with ``extract`` (see :func:`new_logs`).
     """
     spark = logs.sparkSession
     ensure_log_table(spark, table)
-    rows = dated(logs.filter(F.col("semantic_model_name").isNotNull()))
+    rows = logs.filter(F.col("semantic_model_name").isNotNull())
     if dedupe_on:
-        rows = new_rows(rows, spark.table(table), dedupe_on)
+        rows = new_logs(rows, spark.table(table), dedupe_on, extract)
+    else:
+        rows = dated(extract(rows) if extract else rows)
     _balanced(rows).write.insertInto(table)
 
 

@@ -10,13 +10,15 @@ has read the table before sees a repeated batch's new files after ``spark.catalo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendtrace.schemas import REQUEST_LOG
 from spendtrace.sources.extract import extract_request_log
-from spendtrace.sources.sinks import LOG_DATE, dated, new_rows
+from spendtrace.sources.sinks import LOG_DATE, new_logs
 
 BATCH = "ingest_batch"
 
@@ -30,15 +32,21 @@ def ensure_batch_table(spark: SparkSession, table: str) -> None:
     )
 
 
-def write_batch(requests: DataFrame, table: str, batch: str, staged: str) -> None:
-    """Put the extracted requests that name a semantic model under ``batch``, in place of what it held on their days.
+def write_batch(
+    requests: DataFrame,
+    table: str,
+    batch: str,
+    staged: str,
+    extract: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Put the requests that name a semantic model under ``batch``, in place of what it held on their days.
 
-    They are written to the folder ``staged`` first, as the table is both read and written.
+    They are extracted already, or raw and come with ``extract`` (see ``sinks.new_logs``). They are written to the folder ``staged`` first, as the table is both read and written.
     """
     spark = requests.sparkSession
-    rows = dated(requests.filter(F.col("semantic_model_name").isNotNull()))
+    rows = requests.filter(F.col("semantic_model_name").isNotNull())
     others = spark.table(table).filter(F.col(BATCH) != batch)
-    fresh = new_rows(rows, others).withColumn(BATCH, F.lit(batch))
+    fresh = new_logs(rows, others, extract=extract).withColumn(BATCH, F.lit(batch))
     fresh.hint("rebalance", LOG_DATE).write.mode("overwrite").parquet(staged)
     fresh = spark.read.schema(fresh.schema).parquet(staged)
     mode, before = "spark.sql.sources.partitionOverwriteMode", spark.conf.get("spark.sql.sources.partitionOverwriteMode")
@@ -58,7 +66,8 @@ def ingest_batches(stream: DataFrame, table: str, checkpoint: str, available_now
         if not query:
             raise RuntimeError("the streaming query's id is unknown, so its batches cannot be told from another's")
         # One staging folder a query: each batch overwrites the one before.
-        write_batch(extract_request_log(batch), table, f"{query}-{batch_id:012d}", f"{checkpoint.rstrip('/')}-staged")
+        name, staged = f"{query}-{batch_id:012d}", f"{checkpoint.rstrip('/')}-staged"
+        write_batch(batch, table, name, staged, extract_request_log)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -35,7 +35,7 @@ def ingest_logs(
         stream = timed.withWatermark("_at", watermark).dropDuplicatesWithinWatermark(["_id"])
 
     def step(batch: DataFrame, _batch_id: int) -> None:
-        append_logs(extract_request_log(batch), table)
+        append_logs(batch, table, extract=extract_request_log)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from checks.bindings import BoundTables
 from checks.stored import finished, streamed
 from spendtrace.operators.budgets import budget_rules
-from spendtrace.schemas import REQUEST_LOG
+from spendtrace.schemas import REQUEST_LOG, REQUEST_LOG_RAW
 from spendtrace.sources import sinks, snapshots
+from spendtrace.sources.extract import extract_request_log
 from spendtrace.streaming.batch_ingest import BATCH, ensure_batch_table, ingest_batches, write_batch
 from spendtrace.streaming.budget_stream import budget_stream, stream_alerts
+from spendtrace.streaming.log_ingest import ingest_logs
 from tests.frames import logs, same_rows, values
 
 SF = "/root/testdata/sf0.001"
@@ -132,6 +134,48 @@ def test_ingest_loads_each_batch_once(spark, folder, table):
     assert spark.table(table).count() == 60 + unnamed
 
 
+def test_only_new_requests_are_parsed_by_all_tasks(spark, folder, table, monkeypatch):
+    """One file of repeated requests: each new one is parsed once, in the tasks of the shuffle; known ones are not."""
+    parsed, tasks = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(body, first):
+        parsed.add(1)
+        tasks.add(1 if first else 0)
+        return body
+
+    def extract(rows):
+        tagged = rows.withColumn("_task", F.monotonically_increasing_id() % (1 << 33) == 0)
+        return extract_request_log(tagged.withColumn("response_body", counted("response_body", "_task")))
+
+    monkeypatch.setattr("spendtrace.streaming.batch_ingest.extract_request_log", extract)
+    monkeypatch.setattr("spendtrace.streaming.log_ingest.extract_request_log", extract)
+    at, body = dt.datetime(2024, 1, 5, 8), '{"response_metadata":{"analyst_latency_ms":7}}'
+    rows = [(at, f"r{k % 50}", "m", None, "u", "API", None, 200, "{}", body, "SELECT 1") for k in range(100)]
+    rows += [(at, None, "m", None, "u", "API", None, 200, "{}", body, "SELECT 1")] * 2
+    spark.createDataFrame(rows, REQUEST_LOG_RAW).coalesce(1).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(REQUEST_LOG_RAW).parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one task
+    try:
+        finished(ingest_batches(source, table, f"{folder}/checkpoint"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parsed.value == 52 and tasks.value > 1
+    assert spark.table(table).where("latency_ms = 7").count() == 52
+    finished(ingest_batches(source, table, f"{folder}/other"))
+    spark.catalog.refreshTable(table)
+    assert parsed.value == 54 and spark.table(table).count() == 54  # only the two without id, which nothing tells apart
+    finished(ingest_logs(source, f"{table}_log", f"{folder}/log"))
+    finished(ingest_logs(source, f"{table}_log", f"{folder}/log-again"))
+    assert parsed.value == 54 + 54 and spark.table(f"{table}_log").count() == 54
+
+
+def test_stream_has_a_file_for_each_core(spark, folder):
+    """A micro-batch is read by all cores, not by one."""
+    streamed(spark.range(1000).repartition(2), f"{folder}/in")
+    assert len(glob.glob(f"{folder}/in/*.parquet")) == 3 * spark.sparkContext.defaultParallelism
+
+
 def test_write_batch_replaces_itself_and_respects_others(spark, table, folder):
     ensure_batch_table(spark, table)
     first = logs(spark, [{"semantic_model_name": "m"}, {"semantic_model_name": "m", "request_id": None}, {"semantic_model_name": None}])
