@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendtrace.llm.kept import kept
 from spendtrace.llm.spans import LETTER, PUNCTUATION, HashTable, SpanIds, letters
 from spendtrace.llm.staging import bounded_batches
 from spendtrace.llm.textnum import segments, slices
@@ -248,15 +249,8 @@ class ByteBpe:
         return self.flat[where].tobytes()
 
 
-_loaded: dict[tuple[str, str], ByteBpe] = {}
-
-
 def codec(path: str, pattern: str) -> ByteBpe:
-    """Built once per worker."""
-    key = (path, pattern)
-    if key not in _loaded:
-        _loaded[key] = ByteBpe.from_file(path, pattern)
-    return _loaded[key]
+    return kept(("byte bpe", path, pattern), lambda: ByteBpe.from_file(path, pattern))
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:

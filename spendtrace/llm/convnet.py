@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendtrace.llm.kept import release
 from spendtrace.llm.staging import bounded_batches
 
 CHUNK = 256
@@ -183,6 +184,7 @@ def quality_scores(docs: DataFrame, net: ByteConvNet) -> DataFrame:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array(net.scores([(t or "").encode() for t in texts.to_pylist()]))
 
     scored = docs.select("doc_id", score("text").alias("score"))

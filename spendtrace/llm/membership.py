@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendtrace.llm.kept import release
+
 #: Bits for each id, and the most bits (16 MB): beyond that more rows pass, and the join after it does the work.
 BITS_PER_ID = 16
 MOST_BITS = 1 << 27
@@ -30,6 +32,7 @@ def maybe_member(ids: DataFrame, value: Column) -> Column:
 
     @F.arrow_udf("boolean")
     def maybe(places: pa.Array) -> pa.Array:
+        release()
         at = places.fill_null(0).to_numpy(zero_copy_only=False)
         return pa.array((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
 

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtrace.llm.components import connected_components
+from spendtrace.llm.kept import release
 from spendtrace.llm.membership import maybe_member
 from spendtrace.llm.staging import bounded_batches, stored
 from spendtrace.llm.textnum import mix, slices, window_hashes, words
@@ -152,6 +153,7 @@ def with_signatures(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf(SIGNATURE)
     def sign(texts: pa.Array) -> pa.Array:
+        release()
         return signatures(texts)
 
     return docs.select("doc_id", sign("text").alias("sig")).select("doc_id", *[f"sig.{f.name}" for f in SIGNATURE])
@@ -191,6 +193,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def full_set(texts: pa.Array) -> pa.Array:
+        release()
         rows = list(shingle_sets(texts))
         ends = np.cumsum([0] + [len(r) for r in rows])
         flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, dtype=np.int64)

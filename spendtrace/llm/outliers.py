@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendtrace.llm.kept import release
 from spendtrace.llm.staging import bounded_batches, stored
 from spendtrace.llm.textnum import SPACE, slices, window_hashes, words
 
@@ -97,6 +98,7 @@ def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.arrow_udf(STATS_TYPE)
     def stats(texts: pa.Array) -> pa.Array:
+        release()
         return count_statistics(texts)
 
     return docs.withColumn("stats", stats(F.col(text))).drop(text)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from spendtrace.llm.kept import kept
 from spendtrace.llm.spans import LETTER, PUNCTUATION, SpanIds, letters
 from spendtrace.llm.staging import bounded_batches, stored
 from spendtrace.llm.textnum import SPACE, segments, slices
@@ -134,14 +135,8 @@ def _letters(word: bytes) -> bool:
     return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """Built once per worker."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return kept(("word ids", path), lambda: WordIds(path))
 
 
 PIECE = T.StructType(
