@@ -157,6 +157,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 2048, closing:
     def encoded(texts: pa.Array) -> pa.Array:
         return pa.array(word_ids(path).encode(texts, closing), pa.binary())
 
+    # Else the filter on the ids goes below them, and each text is tokenized twice, by two workers a task.
+    encoded = encoded.asNondeterministic()
     rows = docs.select("doc_id", encoded("text").alias("all_ids"))
     total = F.octet_length("all_ids") / 4
     piece = F.explode(F.sequence(F.lit(0), (F.ceil(total / capacity) - 1).cast("int")))

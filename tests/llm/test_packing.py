@@ -45,6 +45,13 @@ def test_no_documents(spark):
     assert bare.collect() == []
 
 
+def test_texts_are_tokenized_once(spark):
+    """One Python worker a task: a second one would hold a tokenizer, too."""
+    for closing in (0, None):
+        plan = packing.tokenized_pieces(documents(spark), PATH, closing=closing)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
 def test_words_match_the_library():
     import random
 
