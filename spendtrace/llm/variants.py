@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from string import ascii_letters, ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -55,18 +56,22 @@ _PAIRS = 1 << 17
 _MARKS = "^", "$"
 _KEY = np.random.default_rng(13).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
 
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
+#: A-Z, a-z and U+00C0 to U+00FF one by one: Java looks such a class up in one table, but tries ranges one after another.
+LETTERS = f"[{ascii_letters}{''.join(map(chr, range(0xC0, 0x100)))}]"
 
 
 def counted_words(docs: DataFrame, least_length: int = 5, least_count: int = 3, delete_one_in: int | None = 97) -> DataFrame:
     """(word, n) of runs of letters, A-Z lowered, after the rule that deletes a code point of some runs."""
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(lowered, F.lit(RUN), F.lit(0))).alias("run"))
-    runs = runs.where(F.length("run") >= least_length)
+    # Runs of the least length are found at once; each is a whole run, as the pattern takes all letters that follow.
+    runs = F.regexp_extract_all("text", F.lit(f"{LETTERS}{{{max(1, least_length)},}}"), F.lit(0))
+    prefix = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"))
+    runs = docs.select(prefix.alias("prefix"), F.explode(runs).alias("run"))
+    # Of ASCII runs, which are nearly all, lower() changes just A-Z, and is cheaper.
+    lowered = F.when(F.octet_length("run") == F.length("run"), F.lower("run")).otherwise(F.translate("run", ascii_uppercase, ascii_lowercase))
+    runs = runs.select("prefix", lowered.alias("run"))
     word = F.col("run")
     if delete_one_in:
-        h = F.crc32(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run"), "UTF-8"))
-        runs = runs.withColumn("h", h)
+        runs = runs.withColumn("h", F.crc32(F.concat("prefix", "run").cast("binary")))
         at = F.pmod(F.col("h"), F.length("run")).cast("int")
         shorter = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2, F.length("run")))
         word = F.when(F.col("h") % delete_one_in == 0, shorter).otherwise(word)
@@ -230,19 +235,22 @@ def one_edit(a: str, b: str) -> bool:
     return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :]
 
 
-def _matrices(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row: code points (zero behind the end), numbered grams (-1 behind), whether they fit in that, and a bit for each gram's hash."""
-    words = np.array([w[:WIDTH] for w in table["word"].to_pylist()], dtype=f"U{WIDTH}")
-    points = words.view(np.uint32).reshape(len(words), WIDTH)
+def _matrices(table: pa.Table, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: code points (zero behind the end), numbered grams (-1 behind), whether they fit in that, a bit for
+    each gram's hash, and a bit for each code point that occurs an odd number of times."""
+    width = max(1, min(WIDTH, int(length.max(initial=0))))
+    words = np.array([w[:width] for w in table["word"].to_pylist()], dtype=f"U{width}")
+    points = words.view(np.uint32).reshape(len(words), width)
     lists = table["grams"].combine_chunks()
     lengths = lists.value_lengths().to_numpy()
     grams = np.full((len(words), max(1, lengths.max(initial=0))), -1, dtype=np.int32)
     flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     grams[owner, place] = flat
-    fits = (pa.compute.utf8_length(table["word"]).to_numpy() <= WIDTH) & (lengths > 0)
+    fits = (length <= WIDTH) & (lengths > 0)
     bits = np.where(grams >= 0, np.uint64(1) << (mix(grams.astype(np.uint64)) >> np.uint64(58)), np.uint64(0))
-    return points, grams, fits, np.bitwise_or.reduce(bits, axis=1)
+    odd = np.where(points > 0, np.uint64(1) << (points & np.uint32(63)).astype(np.uint64), np.uint64(0))
+    return points, grams, fits, np.bitwise_or.reduce(bits, axis=1), np.bitwise_xor.reduce(odd, axis=1)
 
 
 def near_pairs(table: pa.Table) -> pa.Table:
@@ -251,8 +259,9 @@ def near_pairs(table: pa.Table) -> pa.Table:
     size = len(cells)
     edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
     last = np.repeat(edges[1:], np.diff(edges))
-    points, grams, fits, bits = _matrices(table)
     words, length = table["word"], pa.compute.utf8_length(table["word"]).to_numpy()
+    points, grams, fits, bits, odd = _matrices(table, length)
+    all_fit = fits.all()
     home, need, block, two = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "need", "block", "two"))
     # Common grams have common bits, but for those of a word that fall on one bit.
     least_bits = need.astype(np.int64) - ((grams >= 0).sum(axis=1) - np.bitwise_count(bits))
@@ -264,7 +273,12 @@ def near_pairs(table: pa.Table) -> pa.Table:
         stop = max(start + 1, int(np.searchsorted(upto, done + _PAIRS, side="right")))
         counts = after[start:stop]
         i = np.repeat(np.arange(start, stop), counts)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+        j = np.arange(len(i)) + np.repeat(np.arange(start, stop) + 1 - np.cumsum(counts) + counts, counts)
+        # An edit brings in a code point, takes one out or both: it turns two of the bits at most.
+        close = np.bitwise_count(np.repeat(odd[start:stop], counts) ^ odd[j]) <= 2
+        if not all_fit:
+            close |= ~(fits[i] & fits[j])
+        i, j = i[close], j[close]
         start = stop
         # Two homes have one length, a home and a shorter word differ by one; hashed keys may bring others together.
         both = home[i] & home[j]
@@ -293,9 +307,9 @@ def _verified(i: np.ndarray, j: np.ndarray, points: np.ndarray, length: np.ndarr
     swap = length[i] > length[j]
     x, y = points[np.where(swap, j, i)], points[np.where(swap, i, j)]
     differ = x != y
-    first = np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
     replaced = (length[i] == length[j]) & (differ.sum(axis=1) == 1)
-    shifted = (x[:, :-1] != y[:, 1:]) & (np.arange(WIDTH - 1) >= first[:, None])
+    shifted = (x[:, :-1] != y[:, 1:]) & (np.arange(x.shape[1] - 1) >= first[:, None])
     inserted = (length[i] != length[j]) & ~shifted.any(axis=1)
     ok = replaced | inserted
     return np.stack([i[ok], j[ok]], axis=1)

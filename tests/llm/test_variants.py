@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from spendtrace.llm import variants
@@ -100,6 +101,33 @@ def test_affected_bound(spark):
     assert short  # some bounds are 0: the second index is needed
 
 
+def test_words_of_other_letters_are_not_compared(monkeypatch):
+    """In one cell only pairs that differ by two odd counts of code points (modulo 64) at most get to the comparison."""
+    words = list(invented(3, 300, "abcdefghijklmnopqrstuvwxyzéÿ", (5, 6, 9, 12))) + ["a" * 60, "a" * 60 + "b", "aab", "ab", "ÿÿÿÿÿ", "ÿÿÿÿ"]
+    size = len(words)
+    home = [len(w) % 2 == 0 for w in words]
+    columns = {"cell": [1] * size, "word": words, "n": [3] * size, "need": [1] * size, "grams": [[7]] * size, "home": home, "block": [0] * size, "two": [False] * size}
+    types = {"cell": pa.int64(), "n": pa.int64(), "need": pa.int32(), "grams": pa.list_(pa.int32()), "block": pa.int32()}
+    table = pa.table({k: pa.array(v, types.get(k)) for k, v in columns.items()})
+    compared, verified = [], variants._verified
+    monkeypatch.setattr(variants, "_verified", lambda i, j, *x: compared.extend(zip(i.tolist(), j.tolist())) or verified(i, j, *x))
+    got = variants.near_pairs(table)
+    place = {w: i for i, w in enumerate(words)}
+    # A home meets homes of its length and visitors that are one shorter.
+    want = {(a, b) for a, others in near(words).items() for b in others if home[place[a]] and len(b) in (len(a), len(a) - 1)}
+    assert {frozenset(p) for p in zip(got["a"].to_pylist(), got["b"].to_pylist())} == {frozenset(p) for p in want}
+    odd = [{c for c, n in Counter(ord(c) % 64 for c in w).items() if n % 2} for w in words]
+    assert compared and all(len(odd[i] ^ odd[j]) <= 2 for i, j in compared)
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    rows = [(i, "ÉCOLE École école ÉcOLE STRASSE Straße ABCD×E abcd÷e NAÏVETÉ abcdE1FGHI ĀBCDE") for i in range(120)]
+    df = spark.createDataFrame(rows + [(None, "ÉCOLE ABCDE"), (5, None)], "doc_id long, text string")
+    for least in (1, 4, 5):
+        got = {r.word: r.n for r in variants.counted_words(df, least_length=least, least_count=1).collect()}
+        assert got == words_of(rows + [(None, "ÉCOLE ABCDE")], least, 1)
+
+
 def test_counts_forms_and_roots(spark):
     rows = [(r[0], r[1]) for r in document_rows()]
     rows += [(500, "colour " * 40 + "colouur " * 9 + "coluur " * 3 + "Colour COLOUR ÀÉÎõü ÀÉÎõü ÀÉÎõüx ÀÉÎõü ab1cdefg")]
